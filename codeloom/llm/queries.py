@@ -1,8 +1,11 @@
 """The operators' queries and their SQL, by name."""
 
-from codeloom.llm import bpe
+from codeloom.llm import bpe, mixing, token_files, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_token_files": token_files.op5_token_files,
+    "op9_mixing": mixing.op9_mixing,
     "op3_byte_bpe": bpe.op3_byte_bpe,
 }
 
