@@ -124,17 +124,28 @@ def hash_strings(a: pa.Array) -> np.ndarray:
         return mix64(out + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
 def lower_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words [^\\x20\\x09-\\x0D]+ of the texts, A-Z lower-cased, and each text's offsets into them.
 
     A null text counts as an empty one.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    flat = lists.flatten()
-    full = pc.greater(pc.binary_length(flat), 0)
-    counts = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False).astype(np.int64))])
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    return flat.filter(full), counts[ends - ends[0]]
+    raw, at = string_bytes(pc.fill_null(texts.cast(pa.large_string()), ""))
+    solid = ~SPACE[raw]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    heads = at[:-1][at[:-1] < len(raw)]
+    begins[heads] = solid[heads]
+    starts = np.flatnonzero(begins)
+    upto = np.cumsum(solid)
+    ends = np.append(upto[starts] - 1, upto[-1] if len(raw) else 0).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(LOWER[raw[solid]]))
+    return words, np.searchsorted(starts, at)
 
 
 def word_ids(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +30,39 @@ GRADES = 3
 TOXIC_FROM = 0.5
 
 
+#: Besides whole words, their first so many characters are features: stems show whatever ending follows.
+STEMS = (4, 5, 6)
+
+
+def word_columns(distinct: pa.Array) -> np.ndarray:
+    """The features of each distinct word, a column for the word and for each stem; -1 where the word is no longer than it."""
+    kinds = [common.hash_strings(distinct)]
+    length = pc.utf8_length(distinct).to_numpy(zero_copy_only=False)
+    for n in STEMS:
+        stem = common.mix64(common.hash_strings(pc.utf8_slice_codeunits(distinct, 0, n)) + np.uint64(n))
+        kinds.append(np.where(length >= n, (stem % np.uint64(FEATURES)).astype(np.int64), -1))
+    kinds[0] = (kinds[0] % np.uint64(FEATURES)).astype(np.int64)
+    return np.stack(kinds, axis=1)
+
+
+def token_columns(texts: pa.Array, keep=None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row, feature) of every token's features, repeats included; keep: maps features to those wanted, or -1."""
+    words, ends = common.lower_words(texts)
+    coded = words.dictionary_encode()
+    columns = word_columns(coded.dictionary)
+    if keep is not None:
+        columns = keep(columns)
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    some = (columns >= 0).any(axis=1)[index]
+    rows, columns = np.repeat(rows[some], columns.shape[1]), columns[index[some]].ravel()
+    return rows[columns >= 0], columns[columns >= 0], len(ends) - 1
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted (row, feature) pairs of the texts without repeats, and how often each occurs."""
-    words, ends = common.lower_words(texts)
-    index, hashes = common.word_ids(words)
-    column = (hashes % np.uint64(FEATURES)).astype(np.int64)
-    keys, n = np.unique(np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * FEATURES + column[index], return_counts=True)
+    rows, columns, _ = token_columns(texts)
+    keys, n = np.unique(rows * FEATURES + columns, return_counts=True)
     return keys // FEATURES, keys % FEATURES, n
 
 
@@ -50,16 +78,16 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """w.x of each text."""
-        words, ends = common.lower_words(texts)
-        index, hashes = common.word_ids(words)
-        column = (hashes % np.uint64(FEATURES)).astype(np.int64)
-        spot = np.minimum(np.searchsorted(self.columns, column), max(0, len(self.columns) - 1))
-        known = self.columns[spot] == column if len(self.columns) else np.zeros(len(column), bool)
-        hit = known[index]
-        rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[hit]
+        def known(columns: np.ndarray) -> np.ndarray:
+            if not len(self.columns):
+                return np.full(columns.shape, -1)
+            spot = np.minimum(np.searchsorted(self.columns, columns), len(self.columns) - 1)
+            return np.where(self.columns[spot] == columns, spot, -1)
+
+        rows, spots, n = token_columns(texts, known)
         width = max(1, len(self.columns))
-        keys = np.unique(rows * width + spot[index[hit]])
-        return np.bincount(keys // width, weights=self.weights[keys % width] if len(keys) else None, minlength=len(ends) - 1)
+        keys = np.unique(rows * width + spots)
+        return np.bincount(keys // width, weights=self.weights[keys % width], minlength=n)
 
     def at_least(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each cut k, a column each."""
