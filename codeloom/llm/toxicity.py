@@ -25,6 +25,9 @@ SAMPLE = 4000
 FEATURES = 1 << 20
 #: Texts of the sample that must hold a feature for it to get a weight.
 LEAST_TEXTS = 4
+#: ... and this share of its toxic texts; and its log odds of being in a toxic text rather than a clean one.
+LEAST_SHARE = 0.01
+LEAST_LOG_ODDS = 2.5
 GRADES = 3
 #: Expected grades from here on are toxic.
 TOXIC_FROM = 0.5
@@ -97,15 +100,16 @@ class Model:
         return self.at_least(score).sum(axis=1) if len(self.cuts) else np.zeros(len(score))
 
 
-def grades(toxic: np.ndarray, row: np.ndarray, column: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """0 for clean texts; for toxic ones 1 to GRADES by terciles of the occurrences of telling words."""
-    def texts_with(which):
-        return np.bincount(column[which[row]], minlength=FEATURES)
-
-    bad, good = texts_with(toxic == 1), texts_with(toxic == 0)
+def telling(toxic: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Which features are in enough toxic texts, and much more often than in clean ones."""
+    bad, good = (np.bincount(column[(toxic == k)[row]], minlength=FEATURES) for k in (1, 0))
     share = np.log((bad + 0.5) / (np.sum(toxic == 1) + 1)) - np.log((good + 0.5) / (np.sum(toxic == 0) + 1))
-    telling = (bad >= max(LEAST_TEXTS, 0.02 * np.sum(toxic == 1))) & (share > 2)
-    hits = np.bincount(row, weights=telling[column] * n, minlength=len(toxic))
+    return (bad >= max(LEAST_TEXTS, LEAST_SHARE * np.sum(toxic == 1))) & (share > LEAST_LOG_ODDS)
+
+
+def grades(toxic: np.ndarray, row: np.ndarray, n: np.ndarray, tells: np.ndarray) -> np.ndarray:
+    """0 for clean texts; for toxic ones 1 to GRADES by terciles of how often telling features occur."""
+    hits = np.bincount(row, weights=tells * n, minlength=len(toxic))
     out = np.zeros(len(toxic), np.int64)
     if (toxic == 1).any():
         levels = np.quantile(hits[toxic == 1], np.arange(1, GRADES) / GRADES)
@@ -113,8 +117,8 @@ def grades(toxic: np.ndarray, row: np.ndarray, column: np.ndarray, n: np.ndarray
     return out
 
 
-def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, steps: int = 200, shrink: float = 2e-4) -> Model:
-    """Maximum likelihood with an L1 penalty, by accelerated proximal gradient steps.
+def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, steps: int = 600, shrink: float = 1e-4) -> Model:
+    """Maximum likelihood with an L2 penalty and weights of 0 or more, by accelerated projected gradient steps.
 
     Grades missing from the sample get no cut of their own; with one grade
     only, the model has no cuts and expects 0.
@@ -123,39 +127,59 @@ def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, steps: int = 200
     present = [k for k in range(1, int(grade.max(initial=0)) + 1) if (grade >= k).any() and (grade < k).any()]
     if not present:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    top = len(present)
     columns, local = np.unique(column, return_inverse=True)
-    often = np.bincount(local) >= LEAST_TEXTS
-    keep = often[local]
-    columns, row, local = columns[often], row[keep], (np.cumsum(often) - 1)[local[keep]]
-    level = np.searchsorted(present, grade, "right")  # 0 .. len(present)
-    base = np.array([(level >= k + 1).mean() for k in range(len(present))])
+    level = np.searchsorted(present, grade, "right")
+    low, high = np.maximum(level - 1, 0), np.minimum(level, top - 1)
+    base = np.array([(level >= k + 1).mean() for k in range(top)])
     cuts = -np.log(base / (1 - base))
     w = np.zeros(len(columns))
-    low, high = np.maximum(level - 1, 0), np.minimum(level, len(present) - 1)
-    # words differ in how many texts hold them, so each has its own step; those at odds with each other share it
-    per_row = np.maximum(1, np.bincount(row, minlength=n))
-    lipschitz = 0.3 * np.bincount(local, weights=np.sqrt(per_row[row]), minlength=len(columns)) / n + 1e-6
-    ahead, t = (w.copy(), cuts.copy()), 1.0
-    for _ in range(steps):
-        v, c = ahead
-        s = np.bincount(row, weights=v[local], minlength=n)
-        upper = np.where(level < len(present), logistic(c[high] - s), 1.0)
+
+    def score(v):
+        return np.bincount(row, weights=v[local], minlength=n)
+
+    # the logistic's curvature is 1/4 at most; the largest eigenvalue by power iteration, with the cuts' own
+    probe = np.ones(len(columns))
+    for _ in range(20):
+        probe = np.bincount(local, weights=score(probe)[row], minlength=len(columns))
+        norm = np.linalg.norm(probe) or 1.0
+        probe /= norm
+    step = n / (0.5 * (norm + n))
+
+    def slopes(v, c):
+        s = score(v)
+        upper = np.where(level < top, logistic(c[high] - s), 1.0)
         lower = np.where(level > 0, logistic(c[low] - s), 0.0)
         p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper), lower * (1 - lower)
-        ds = (du - dl) / p / n  # of the negative log-likelihood by s
-        dc = -np.bincount(high, weights=du / p * (level < len(present)), minlength=len(present)) + np.bincount(low, weights=dl / p * (level > 0), minlength=len(present))
-        new = v - np.bincount(local, weights=ds[row], minlength=len(columns)) / lipschitz
-        new = np.sign(new) * np.maximum(np.abs(new) - shrink / lipschitz, 0)
-        moved = np.maximum.accumulate(c - dc / n)
+        ds = (du - dl) / p / n
+        dc = np.bincount(low, weights=dl / p / n, minlength=top) - np.bincount(high, weights=du / p / n * (level < top), minlength=top)
+        return np.bincount(local, weights=ds[row], minlength=len(columns)) + shrink * v, dc, -np.log(p).mean() + shrink / 2 * (v @ v)
+
+    (v, c), t, best = (w, cuts), 1.0, np.inf
+    for _ in range(steps):
+        dv, dc, loss = slopes(v, c)
+        if loss > best:  # the momentum overshot: start it again
+            t, (v, c) = 1.0, (w, cuts)
+            dv, dc, loss = slopes(v, c)
+        best = loss
+        new, moved = np.maximum(v - step * dv, 0), np.maximum.accumulate(c - step * dc)
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         m = (before - 1) / t
-        ahead = (new + m * (new - w), np.maximum.accumulate(moved + m * (moved - cuts)))
+        v, c = np.maximum(new + m * (new - w), 0), np.maximum.accumulate(moved + m * (moved - cuts))
         w, cuts = new, moved
-    used = w != 0
+    used = w > 1e-6
     return Model(columns[used], w[used], cuts)
 
 
+def learn(toxic: np.ndarray, row: np.ndarray, column: np.ndarray, n: np.ndarray) -> Model:
+    """The model of a sample: (row, column, n) as from features(), toxic 0 or 1 a row."""
+    if not len(toxic):
+        return fit(row, column, toxic)
+    tells = telling(toxic, row, column)[column]
+    return fit(row[tells], column[tells], grades(toxic, row, n, tells))
+
+
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = 4) -> DataFrame:
     """doc_id, text, toxic of at most `most` labelled texts of each label; the ids are the bound for the join."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
@@ -166,7 +190,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = 4
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """The model of a bounded sample of labelled rows; its features are made where the texts are."""
+    """The model of a bounded sample of labelled rows, copies once; its features are made where the texts are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
@@ -177,11 +201,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "columns", "n"])
 
     rows = sample(docs, labels, most).mapInArrow(run, "doc_id bigint, toxic int, columns binary, n binary").toArrow().sort_by("doc_id")
-    lists = [[np.frombuffer(x, np.int32) for x in rows.column(c).to_pylist()] for c in ("columns", "n")]
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in lists[0]])
+    seen: set[bytes] = set()
+    kept = [(t, c, k) for t, c, k in zip(*(rows.column(x).to_pylist() for x in ("toxic", "columns", "n")), strict=True) if not (c in seen or seen.add(c))]
+    lists = [[np.frombuffer(x[i], np.int32) for x in kept] for i in (1, 2)]
+    row = np.repeat(np.arange(len(kept)), [len(x) for x in lists[0]])
     column, n = (np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int64) for x in lists)
-    toxic = rows.column("toxic").to_numpy()
-    return fit(row, column, grades(toxic, row, column, n) if len(rows) else np.zeros(0, np.int64))
+    return learn(np.array([x[0] for x in kept], np.int64), row, column, n)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
