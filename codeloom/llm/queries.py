@@ -1,12 +1,13 @@
 """The operators' queries and their SQL, by name."""
 
-from codeloom.llm import bpe, mixing, token_files, toxicity
+from codeloom.llm import bpe, chat, mixing, token_files, toxicity
 
 QUERIES = {
+    "op2_chat_format": chat.op2_chat_format,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_files": token_files.op5_token_files,
     "op9_mixing": mixing.op9_mixing,
     "op3_byte_bpe": bpe.op3_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat_format": chat.ORACLE}
