@@ -1,8 +1,9 @@
 """The operators' queries and their SQL, by name."""
 
-from codeloom.llm import bpe, chat, mixing, token_files, toxicity
+from codeloom.llm import bpe, chat, jaccard, mixing, token_files, toxicity
 
 QUERIES = {
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op2_chat_format": chat.op2_chat_format,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_files": token_files.op5_token_files,
