@@ -197,11 +197,11 @@ def char_offsets(raw: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[upto]
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, with_offsets: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs(doc_id, text).
 
-    With with_ids also ids (array of int), token_ends (each token's end in
-    characters) and decoded (binary). Null texts are empty ones: no ids, and
+    With with_ids also ids (array of int); with with_offsets also token_ends
+    (each token's end in characters) and decoded (binary). Null texts are empty ones: no ids, and
     the hashes of nothing. Rows are independent: repeated rows and null
     doc_ids come out as often as they came in; further columns are left out.
     The vocabulary file is read on the driver alone and sent to the workers.
@@ -211,7 +211,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
     sent = spark.sparkContext.broadcast((tokenizer_json(ranks, pattern), ranks))
     fields = [pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     if with_ids:
-        fields += [pa.field("ids", pa.list_(pa.int32())), pa.field("token_ends", pa.list_(pa.int32())), pa.field("decoded", pa.binary())]
+        fields += [pa.field("ids", pa.list_(pa.int32()))]
+    if with_offsets:
+        fields += [pa.field("token_ends", pa.list_(pa.int32())), pa.field("decoded", pa.binary())]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,10 +234,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
                     pa.array([hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(upto[:-1], upto[1:], strict=True)], pa.string()),
                 ]
                 if with_ids:
+                    columns += [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+                if with_offsets:
                     begun = np.concatenate([[0], np.cumsum(dec.n[ids])])
                     chars = char_offsets(raw, begun[1:]) - np.repeat(char_offsets(raw, upto[:-1]), np.diff(ends))
                     columns += [
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))),
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(chars.astype(np.int32))),
                         pa.array([flat[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)], pa.binary()),
                     ]

@@ -294,7 +294,7 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the least doc_id of each group; one row of those that repeat it."""
+    """docs without all but the least doc_id of each group; rows that repeat a kept doc_id stay, and so do those without one."""
     groups = similar_documents(docs, n, percent)
     gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
