@@ -27,6 +27,8 @@ CHUNKS = 64
 MATCHES = (1, 2, 3, 4, 6, 8)
 #: What verifying a candidate costs against reading a posting.
 VERIFY_COST = 20.0
+#: Postings of a shingle that are all paired at once; longer lists are first paired with so many pivots.
+SHORT, PIVOTS = 4, 2
 #: Bits of the map of candidates' ids that the texts are filtered by before their sets are sent.
 ID_BITS = 1 << 24
 
@@ -147,13 +149,14 @@ def least_overlap_alone(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray, documents: int) -> DataFrame:
-    """doc_id, size, matches, parity (two longs) and tokens: each set's prefix, rare shingles first.
+    """doc_id, size, matches, p1, p2, sketch and tokens: each set's prefix, rare shingles first.
 
-    parity has a bit for each of 128 classes of shingles: whether the set holds
-    an odd number of them. Sets differ in as many shingles as parities in bits, at least.
+    sketch has a bit for each of 512 classes of shingles: whether the set holds
+    an odd number of them; p1 and p2 have 128 coarser classes. Sets differ in
+    as many shingles as these bits, at least.
     """
     sent = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("matches", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("matches", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
@@ -168,58 +171,127 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray, document
                 matches, length = prefix_sizes(often, doc, size, ends, documents, percent)
                 keep = np.arange(len(found)) - ends[:-1][doc] < length[doc]
                 bit = common.mix64(found + np.uint64(131))
-                where = (bit >> np.uint64(57)).astype(np.int64)
-                odd = (np.bincount(doc * 128 + where, minlength=128 * len(size)) & 1).astype(np.uint8).reshape(-1, 128)
-                parity = np.packbits(odd, axis=1, bitorder="little").view(np.uint64).reshape(-1, 2)
+                where = (bit >> np.uint64(55)).astype(np.int64)
+                odd = (np.bincount(doc * 512 + where, minlength=512 * len(size)) & 1).astype(np.uint8).reshape(-1, 512)
+                sketch = np.packbits(odd, axis=1)
+                parity = np.bitwise_xor.reduce(sketch.view(np.uint64).reshape(-1, 4, 2), axis=1)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), signed(found[keep]))
-                yield pa.RecordBatch.from_arrays([part.column(0), signed(size), signed(matches), signed(np.ascontiguousarray(parity[:, 0])), signed(np.ascontiguousarray(parity[:, 1])), tokens], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), signed(size), signed(matches), signed(np.ascontiguousarray(parity[:, 0])), signed(np.ascontiguousarray(parity[:, 1])), pa.array([x.tobytes() for x in sketch], pa.binary()), tokens], schema=schema)
 
-    kinds = "doc_id bigint, size bigint, matches bigint, p1 bigint, p2 bigint, tokens array<bigint>"
+    kinds = "doc_id bigint, size bigint, matches bigint, p1 bigint, p2 bigint, sketch binary, tokens array<bigint>"
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, kinds)
 
 
-def pairs_of(token: np.ndarray, doc: np.ndarray, size: np.ndarray, matches: np.ndarray, p1: np.ndarray, p2: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b, least matches) of each two postings of one token that their sizes and parities leave possible."""
-    order = np.lexsort((doc, size, token))
-    token, doc, size, matches, p1, p2 = (x[order] for x in (token, doc, size, matches, p1, p2))
+def possible(apart: np.ndarray, size_a, size_b, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in `apart` shingles at least can be similar enough."""
+    return (apart <= size_a + size_b - 2 * least_overlap(size_a, size_b, percent)) & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
+
+
+def met(group: pa.Table, percent: int) -> pa.Table:
+    """What the postings of a shard's tokens say: kind 0 pairs of a short list, 1 pairs with a long list's pivots, 2 a long list's postings.
+
+    Lists of up to SHORT postings give all their pairs. Of longer ones only
+    those with the first PIVOTS, which have the fewest shingles rarer than the
+    token and so lie in the middle of what is alike: no more rows than a few
+    for each posting, however many are alike.
+    """
+    token, doc, size, matches, place, p1, p2 = (group.column(c).to_numpy() for c in ("token", "doc_id", "size", "matches", "place", "p1", "p2"))
+    order = np.lexsort((doc, place, token))
+    token, doc, size, matches = (x[order] for x in (token, doc, size, matches))
+    p1, p2 = p1.view(np.uint64)[order], p2.view(np.uint64)[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    length = np.diff(np.append(first, len(token)))
+    begun, long = np.repeat(first, length), np.repeat(length > SHORT, length)
     at = np.arange(len(token))
-    for k in range(1, len(token)):
-        at = at[at + k < len(token)]
-        at = at[token[at] == token[at + k]]
-        if not len(at):
-            return
-        # within a token sizes ascend: who is too small for this one is too small for all that follow
-        at = at[100 * size[at] >= percent * size[at + k]]
-        other = at + k
-        apart = np.bitwise_count(p1[at] ^ p1[other]).astype(np.int64) + np.bitwise_count(p2[at] ^ p2[other])
-        total = size[at] + size[other]
-        near = (apart <= total - 2 * least_overlap(size[at], size[other], percent)) & (doc[at] != doc[other])
-        i, j = at[near], other[near]
-        if len(i):
-            yield np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), np.minimum(matches[i], matches[j])
-
-
-def candidates(prefix: DataFrame, percent: int) -> DataFrame:
-    """a, b (a < b) of the pairs whose prefixes share as many shingles as the lesser of their l."""
+    pairs = []
+    for k in range(1, SHORT):
+        j = at[~long & (at - begun >= k)]
+        pairs.append((0, j - k, j))
+    for k in range(PIVOTS):
+        j = at[long & (at - begun > k)]
+        pairs.append((1, begun[j] + k, j))
+    columns = []
+    for kind, i, j in pairs:
+        apart = np.bitwise_count(p1[i] ^ p1[j]).astype(np.int64) + np.bitwise_count(p2[i] ^ p2[j])
+        near = possible(apart, size[i], size[j], percent) & (doc[i] != doc[j])
+        i, j = i[near], j[near]
+        columns.append((np.full(len(i), kind), np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), np.minimum(matches[i], matches[j])))
+    kind, a, b, least = (np.concatenate(x) for x in zip(*columns, strict=True))
+    order = np.lexsort((b, a, kind))
+    kind, a, b, least = kind[order], a[order], b[order], least[order]
+    new = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    n = np.diff(np.append(new, len(a)))
+    posted = at[long]
+    return pa.Table.from_arrays(
+        [
+            pa.array(np.concatenate([kind[new], np.full(len(posted), 2)]), pa.int32()),
+            pa.array(np.concatenate([a[new], token[posted]])),
+            pa.array(np.concatenate([b[new], doc[posted]])),
+            pa.array(np.concatenate([least[new], matches[posted]])),
+            pa.array(np.concatenate([n, np.ones(len(posted), np.int64)])),
+        ],
+        names=["kind", "a", "b", "least", "n"],
+    )
+
+
+def apart_in(group: pa.Table, percent: int) -> pa.Table:
+    """a, b, least, n: pairs of long lists that lie in different components and that their sketches leave possible.
+
+    The largest component of a list is compared with the others, never with itself.
+    """
+    group = group.combine_chunks()
+    token, doc, size, matches, component = (group.column(c).to_numpy() for c in ("token", "doc_id", "size", "matches", "component"))
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(-1, 8)
+    order = np.argsort(token, kind="stable")
+    found = []
+    for rows in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
+        kinds, of, often = np.unique(component[rows], return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
+            continue
+        largest = of == np.argmax(often)
+        rows, of = np.concatenate([rows[~largest], rows[largest]]), np.concatenate([of[~largest], of[largest]])
+        for k in range(int((~largest).sum())):
+            i, j = rows[k], rows[k + 1 :][of[k + 1 :] != of[k]]
+            j = j[possible(np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1).astype(np.int64), size[i], size[j], percent) & (doc[j] != doc[i])]
+            if len(j):
+                found.append((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), np.minimum(matches[i], matches[j])))
+    a, b, least = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((b, a))
+    a, b, least = a[order], b[order], least[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (a[new], b[new], least[new], np.diff(np.append(new, len(a))))], names=["a", "b", "least", "n"])
+
+
+def linked(docs: DataFrame, prefix: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, component_id as from components(), of the candidates' links.
+
+    First the pairs of short lists and those with pivots are verified. What
+    that joins needs no further pair; pairs of long lists are then made only
+    across components. A pair's shared shingles count over both kinds of list.
+    """
     spark = prefix.sparkSession
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = prefix.select("doc_id", "size", "matches", "p1", "p2", F.explode("tokens").alias("token"))
-    rows = rows.withColumn("shard", F.pmod("token", F.lit(shards)).cast("int"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("least", pa.int64()), ("n", pa.int64())])
-
-    def run(group: pa.Table) -> pa.Table:
-        token, doc, size, matches, p1, p2 = (group.column(c).to_numpy() for c in ("token", "doc_id", "size", "matches", "p1", "p2"))
-        parts = list(pairs_of(token, doc, size, matches, p1.view(np.uint64), p2.view(np.uint64), percent))
-        if not parts:
-            return schema.empty_table()
-        a, b, least = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((b, a))
-        a, b, least = a[order], b[order], least[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        return pa.Table.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(least[first]), pa.array(np.diff(np.append(first, len(a))))], schema=schema)
-
-    found = rows.groupBy("shard").applyInArrow(run, "a bigint, b bigint, least bigint, n bigint")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b")
+    shard = lambda c: F.pmod(F.col(c), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int")
+    rows = prefix.select("doc_id", "size", "matches", "p1", "p2", F.posexplode("tokens").alias("place", "token")).withColumn("shard", shard("token"))
+    kinds = "kind int, a bigint, b bigint, least bigint, n bigint"
+    found = common.stored(rows.groupBy("shard").applyInArrow(lambda group: met(group, percent), kinds), "candidates")
+    short = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    first = short.where("n >= least").select("a", "b").unionByName(found.where("kind = 1").select("a", "b")).distinct()
+    links = common.stored(verified(docs, common.stored(first, "candidates"), n, percent), "links")
+    joined = common.stored(components(links), "components")
+
+    of = joined.withColumnsRenamed({"node": "_node", "component_id": "_c"})
+    postings = found.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("doc_id"))
+    postings = postings.join(of, F.col("doc_id") == F.col("_node"), "left").select("token", "doc_id", F.coalesce("_c", "doc_id").alias("component"))
+    split = postings.groupBy(F.col("token").alias("_t")).agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
+    postings = postings.join(split, F.col("token") == F.col("_t"), "left_semi").withColumnRenamed("doc_id", "_d")
+    full = postings.join(prefix.select("doc_id", "size", "matches", "sketch"), F.col("_d") == F.col("doc_id")).drop("_d").withColumn("shard", shard("token"))
+    across = full.groupBy("shard").applyInArrow(lambda group: apart_in(group, percent), "a bigint, b bigint, least bigint, n bigint")
+    rest = across.unionByName(short.where("n < least").select("a", "b", "least", "n")).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b")
+    rest = common.stored(rest, "candidates")
+    if rest.isEmpty():
+        return joined
+    more = verified(docs, rest, n, percent)
+    return components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component_id").alias("b"))))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -285,9 +357,7 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     documents = classes.count()
     prefix = prefixes(docs, n, percent, counts, documents).where("size > 0")
     prefix = prefix.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
-    pairs = common.stored(candidates(prefix, percent), "candidates")
-    links = verified(docs, pairs, n, percent)
-    found = components(links)
+    found = linked(docs, common.stored(prefix, "prefixes"), n, percent)
     by_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("component_id", "rep").alias("_c"))
     out = sets.join(by_class, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("size") > 0) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"))
