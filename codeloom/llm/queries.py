@@ -1,8 +1,9 @@
 """The operators' queries and their SQL, by name."""
 
-from codeloom.llm import bpe, chat, html_text, jaccard, mixing, neardup, token_files, topk, toxicity
+from codeloom.llm import bpe, chat, html_text, jaccard, mixing, neardup, pitman_yor, token_files, topk, toxicity
 
 QUERIES = {
+    "op8_lm_scores": pitman_yor.op8_lm_scores,
     "op1_topk": topk.op1_topk,
     "op6_embedding_neardup": neardup.op6_embedding_neardup,
     "op7_html_text": html_text.op7_html_text,
