@@ -27,7 +27,7 @@ LANGUAGES = {
 LANGUAGES["exs"] = LANGUAGES["ex"]
 LANGUAGES["kts"] = LANGUAGES["kt"]
 COMPILED = {ext: {family: [re.compile(p, re.M) for p in ([patterns] if isinstance(patterns, str) else patterns)] for family, patterns in rows.items()} for ext, rows in LANGUAGES.items()}
-REFERENCE = re.compile(r"(?<![\w.])([A-Z]\w+)\b")
+REFERENCE = re.compile(r"(?<![\w.])([A-Z]\w*)\b")
 KAFKA = {"produce": re.compile(rf"\b(?:produce|ProducerRecord(?:<[^>]*>)?|send)\(\s*(?:topic\s*[:=]\s*)?{Q}"), "consume": re.compile(rf"\b(?:subscribe|KafkaConsumer)\(\s*[\[({{]?\s*(?:topics?\s*[:=]\s*\[?\s*)?{Q}")}
 
 

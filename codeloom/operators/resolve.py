@@ -67,7 +67,7 @@ def resolve(imports: DataFrame, files: DataFrame, packages: DataFrame | None = N
     packages(name, dir, entry, exports). The first ending that exists wins.
     """
     asked = imports.select(P.dirname(F.col("importer")).alias("_dir"), F.col("specifier").alias("_spec")).distinct()
-    spec = F.regexp_replace("_spec", r"[?#].*$", "")
+    spec = F.regexp_replace("_spec", r"(?<!^)[?#].*$", "")
     relative = asked.where(F.col("_spec").rlike(r"^\.{1,2}(/|$)")).select("_dir", "_spec", F.lit(0).alias("_way"), P.normalize_path(F.concat_ws("/", "_dir", spec)).alias("_base"))
     absolute = asked.where(~F.col("_spec").rlike(r"^(\.{1,2}(/|$)|/|[a-z]+:)"))
     aliases = tsconfig_aliases(files)
