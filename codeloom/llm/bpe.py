@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codeloom.llm import common
 
 #: Distinct pieces that a worker remembers, at most; then it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Pieces encoded in one call at most, when strung together.
 GROUP = 64
 
@@ -207,6 +207,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
     The vocabulary file is read on the driver alone and sent to the workers.
     """
     spark: SparkSession = docs.sparkSession
+    common.small_batches(spark)
     ranks = read_ranks(ranks_path)
     sent = spark.sparkContext.broadcast((tokenizer_json(ranks, pattern), ranks))
     fields = [pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import uuid
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_SHARED = "/tmp/checkpoints"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows that Spark hands to a Python worker at once, at most.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +58,7 @@ def forget(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,6 +67,22 @@ def process_cache() -> dict:
     return sys.__dict__.setdefault("_codeloom_cache", {})
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of an Arrow batch in this session: whole texts are long, and both sides hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives through many tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
     """Parts of a batch with about `limit` bytes of text, a row at least."""
     texts = batch.column(batch.schema.get_field_index(column))
@@ -72,6 +92,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         upto = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield batch.slice(at, upto - at)
         at, before = upto, ends[upto - 1]
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

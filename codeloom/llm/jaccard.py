@@ -350,6 +350,7 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     document if their sets are equal. An empty table gives no rows; further
     columns are left out.
     """
+    common.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets, counts = sets_and_counts(docs, n)
     classes = sets.where("size > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))

@@ -215,6 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Whole texts are scored; null and empty ones hold no features. Rows are
     independent of each other, and all columns of docs stay.
     """
+    common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("severity double, p_toxic double")
