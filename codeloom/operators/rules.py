@@ -587,6 +587,154 @@ def nextjs_redirect_destinations(e, o):
     return finding("nextjs-redirect-destinations", both, message=F.concat(F.lit("no page for "), "to"), target=F.col("to"))
 
 
+# file-local lint rules over extracted facts (2.16)
+
+TESTS = ["**/*.test.*", "**/*.spec.*", "*.test.*", "*.spec.*"]
+FETCH_METHOD = r"\bmethod\s*:\s*(?![\"'`])"
+
+
+def calls(e, o: dict, default: list[str] = ("**",)) -> DataFrame:
+    """path, callee, line, scope, args, shapes of the rule's files."""
+    rows = e.typescript.join(scoped(e, o, default).select("path"), "path", "left_semi")
+    return rows.select("path", F.explode("calls").alias("c")).select("path", "c.*")
+
+
+@rule("async-call-disposition")
+def async_call_disposition(e, o):
+    """Calls of configured names that no await, return, void, then, catch or assignment handles on their line."""
+    lines = each_line(scoped(e, o, ["**/*.ts", "**/*.tsx", "**/*.js"])).select("path", "line", "text")
+    rows = calls(e, o).where(F.col("callee").isin(o.get("calls", []))).join(lines, ["path", "line"])
+    handled = rf"(\b(await|return|void)\s+|=>?\s*)({'|'.join(map(re.escape, o.get('calls', [''])))})\(|\.(then|catch|finally)\("
+    return finding("async-call-disposition", rows.where(~F.col("text").rlike(handled)), line=F.col("line"), message=F.concat("callee", F.lit(" isn't handled")))
+
+
+@rule("module-mock-boundary")
+def module_mock_boundary(e, o):
+    rows = calls(e, o, TESTS).where(F.col("callee").isin("vi.mock", "jest.mock", "vi.doMock", "jest.doMock")).withColumn("_m", F.regexp_extract(F.col("args")[0], r"[\"'`]([^\"'`]*)", 1))
+    return finding("module-mock-boundary", rows.where(P.matches_any(F.col("_m"), o.get("banned", [])) & ~P.matches_any(F.col("_m"), o.get("allowed", []))), line=F.col("line"), message=F.concat(F.lit("mocked: "), "_m"), imported=F.col("_m"))
+
+
+@rule("module-mock-preserve-exports")
+def module_mock_preserve_exports(e, o):
+    rows = calls(e, o, TESTS).where(F.col("callee").isin("vi.mock", "jest.mock") & (F.size("args") > 1)).withColumn("_m", F.regexp_extract(F.col("args")[0], r"[\"'`]([^\"'`]*)", 1))
+    return finding("module-mock-preserve-exports", rows.where(P.matches_any(F.col("_m"), o.get("modules", ["./**", "../**", "@/**"])) & ~F.col("args")[1].rlike(r"importActual|importOriginal|requireActual")), line=F.col("line"), message=F.concat(F.lit("the mock drops exports of "), "_m"), imported=F.col("_m"))
+
+
+@rule("vitest-mock-test-file-naming")
+def vitest_mock_test_file_naming(e, o):
+    rows = calls(e, o, TESTS).where(F.col("callee").isin("vi.mock", "vi.doMock") & ~F.col("path").rlike(r"\.mock\.(test|spec)\."))
+    return finding("vitest-mock-test-file-naming", rows, line=F.col("line"), message="a test that mocks modules is named .mock.test")
+
+
+@rule("nextjs-metadata-exports-location")
+def nextjs_metadata_exports_location(e, o):
+    rows = e.exports.where(F.col("name").isin("metadata", "generateMetadata", "viewport", "generateViewport") & ~P.basename(F.col("file")).rlike(r"^(page|layout|template|not-found)\.[jt]sx?$"))
+    return finding("nextjs-metadata-exports-location", rows, file="file", line=F.col("line"), message=F.concat("name", F.lit(" is exported outside a route segment")))
+
+
+@rule("nextjs-static-fetch-method")
+def nextjs_static_fetch_method(e, o):
+    rows = calls(e, o).where((F.col("callee") == "fetch") & F.coalesce(F.try_element_at("args", F.lit(2)), F.lit("")).rlike(FETCH_METHOD))
+    return finding("nextjs-static-fetch-method", rows, line=F.col("line"), message="the method isn't static")
+
+
+@rule("no-banned-import-outside-allowed-paths")
+def no_banned_import_outside_allowed_paths(e, o):
+    """Imports of banned names, re-exports followed, from files outside the allowed paths."""
+    out = []
+    for ban in o.get("bans", []):
+        rows = e.imports.where((F.col("specifier") == ban["module"]) & F.exists("names", lambda n: n.isin(ban.get("names", [])) | (n == "*")))
+        out.append(finding("no-banned-import-outside-allowed-paths", rows.where(~P.matches_any(F.col("importer"), ban.get("allowed", []))), file="importer", line=F.col("line"), message=f"banned import of {ban['module']}", imported=F.col("specifier")))
+    return union(e, out)
+
+
+@rule("no-global-fetch-outside-helper")
+def no_global_fetch_outside_helper(e, o):
+    rows = calls(e, o).where(F.col("callee").isin("fetch", "window.fetch", "globalThis.fetch") & ~P.matches_any(F.col("path"), o.get("helpers", [])))
+    return finding("no-global-fetch-outside-helper", rows, line=F.col("line"), message="fetch is called outside its helper")
+
+
+@rule("no-import-only-test-files")
+def no_import_only_test_files(e, o):
+    rows = e.typescript.join(scoped(e, o, TESTS).select("path"), "path", "left_semi").where((F.size("imports") > 0) & (F.size("calls") == 0) & (F.size("exports") == 0))
+    return finding("no-import-only-test-files", rows, message="the test only imports other files")
+
+
+@rule("playwright-assertion-timeout-cap")
+def playwright_assertion_timeout_cap(e, o):
+    rows = each_line(scoped(e, o, TESTS)).withColumn("_t", F.regexp_extract("text", r"\.to[A-Z]\w*\(.*\btimeout\s*:\s*(\d[\d_]*)", 1)).where("_t <> ''")
+    return finding("playwright-assertion-timeout-cap", rows.where(F.regexp_replace("_t", "_", "").try_cast("bigint") > o.get("max", 10000)), line=F.col("line"), message=F.concat(F.lit("timeout "), "_t"))
+
+
+@rule("playwright-consistent-attribute")
+def playwright_consistent_attribute(e, o):
+    wanted = o.get("attribute", "data-testid")
+    return finding("playwright-consistent-attribute", selectors(e).where((F.col("attribute") != "id") & (F.col("attribute") != wanted)), file="file", line=F.col("line"), message=F.concat(F.lit(f"{wanted} rather than "), "attribute"))
+
+
+@rule("playwright-literals")
+def playwright_literals(e, o):
+    return finding("playwright-literals", selectors(e).where("not exact and attribute <> 'id'"), file="file", line=F.col("line"), message="the test id isn't a literal")
+
+
+@rule("playwright-naming-convention")
+def playwright_naming_convention(e, o):
+    return finding("playwright-naming-convention", selectors(e).where((F.col("attribute") != "id") & F.col("exact") & ~F.col("value").rlike(o.get("pattern", "^[a-z][a-z0-9]*(-[a-z0-9]+)*$"))), file="file", line=F.col("line"), message=F.concat("value", F.lit(" breaks the naming convention")))
+
+
+@rule("playwright-unique")
+def playwright_unique(e, o):
+    from codeloom.operators.matching import duplicates
+
+    return finding("playwright-unique", duplicates(selectors(e).where("exact and attribute <> 'id'"), ["file", "attribute", "value"], ["line"]), file="file", line=F.col("line"), message=F.concat("value", F.lit(" is used before in the file")))
+
+
+@rule("playwright-require-exported-component-attribute")
+def playwright_require_exported_component_attribute(e, o):
+    made = e.typescript.where((F.size("components") > 0) & (F.size("selectors") == 0)).select("path", F.explode("exports").alias("x")).where("x.name rlike '^[A-Z]' or x.kind = 'default'")
+    return finding("playwright-require-exported-component-attribute", made, line=F.col("x.line"), message=F.concat(F.col("x.name"), F.lit(" renders no test id")))
+
+
+@rule("playwright-require-interactive-test-id")
+def playwright_require_interactive_test_id(e, o):
+    rows = scoped(e, o, ["**/*.tsx", "**/*.jsx", "*.tsx", "*.jsx"]).select("path", F.explode(F.regexp_extract_all("content", F.lit(r"<(?:button|input|select|textarea|a)\b(?:[^>{}]|\{[^{}]*\})*>"), F.lit(0))).alias("tag"))
+    return finding("playwright-require-interactive-test-id", rows.where(~F.col("tag").rlike(r"data-(testid|test-id|test|pw)")), message=F.concat(F.lit("no test id: "), F.substring("tag", 1, 60)))
+
+
+@rule("playwright-selector-priority")
+def playwright_selector_priority(e, o):
+    return finding("playwright-selector-priority", e.locators.where(F.col("kind").isin("locator") & ~F.col("value").rlike(r"data-(testid|test-id|test|pw)")), file="file", line=F.col("line"), message=F.concat(F.lit("a raw selector: "), "value"))
+
+
+@rule("postgres-no-unbounded-query-fanout")
+def postgres_no_unbounded_query_fanout(e, o):
+    body = F.concat_ws(",", "args")
+    rows = calls(e, o).where((F.col("callee") == "Promise.all") & body.rlike(r"\.map\(") & body.rlike(r"\.(query|execute|unsafe|one|many|any)\(") & ~body.rlike(r"^\s*\["))
+    return finding("postgres-no-unbounded-query-fanout", rows, line=F.col("line"), message="a query for each of unboundedly many items")
+
+
+@rule("server-require-nullable-fetch-wrapper")
+def server_require_nullable_fetch_wrapper(e, o):
+    helpers, wrapper = o.get("helpers", []), o.get("wrapper", "nullable")
+    lines = each_line(scoped(e, o, ["**/*.ts", "**/*.tsx"])).select("path", "line", "text")
+    rows = calls(e, o).where(F.col("callee").isin(helpers)).join(lines, ["path", "line"])
+    return finding("server-require-nullable-fetch-wrapper", rows.where(~F.col("text").contains(wrapper + "(")), line=F.col("line"), message=F.concat("callee", F.lit(f" isn't wrapped in {wrapper}")))
+
+
+@rule("test-no-shared-state")
+def test_no_shared_state(e, o):
+    mask = F.udf(lambda s, x: mask_strings(s or "", x), "string")
+    rows = each_line(scoped(e, o, TESTS).withColumn("content", mask("content", "ext"))).where(F.col("text").rlike(r"^(export\s+)?(let|var)\s+\w+"))
+    return finding("test-no-shared-state", rows, line=F.col("line"), message="mutable state of the whole test module")
+
+
+line_pattern("react-no-nullish-react-node", ["**/*.tsx", "*.tsx"], r"\{\s*(children|icon|label|title|content|node)\s*\?\?", "nullish coalescing of a node", True)
+line_pattern("ts-no-function-aliases", ["**/*.ts", "**/*.tsx", "*.ts"], r"\b(const|let)\s+\w+\s*=\s*\(\s*((?:\.\.\.)?\w+)\s*\)\s*=>\s*[\w.]+\(\s*\2\s*\)", "a function that only calls another", True)
+line_pattern("ts-preserve-null-option-defaults", ["**/*.ts", "**/*.tsx", "*.ts"], r"\b(options|opts|params|config)\??\.\w+\s*(\?\?|\|\|)=?\s", "a default that hides null", True)
+line_pattern("playwright-defaults", ["**/*.tsx", "*.tsx"], r"data-(testid|test-id|test|pw)=\{\s*(props\.)?\w+\s*\}", "a test id from a property without a literal default")
+line_pattern("async-try-catch-return-await", ["**/*.ts", "**/*.tsx", "*.ts"], r"\btry\s*\{[^}]*\breturn\s+(?!await\b)\w[\w.]*\([^}]*\}\s*catch", "a promise is returned from try without await", True)
+
+
 def register_repeats() -> None:
     """The rules whose filters need a running session."""
     repeated("playwright-unique-html-ids", F.col("attribute") == "id")

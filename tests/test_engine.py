@@ -100,6 +100,34 @@ def test_rules_with_options(engine):
     assert found("unique-exports") == set()
 
 
+LINT = {
+    "a.test.ts": "import './b';\n",
+    "m.test.ts": "vi.mock('./x', () => ({}));\nlet shared = 1;\nexpect(l).toBeVisible({ timeout: 20_000 });\npage.locator('.css');\n",
+    "c.tsx": "export const metadata = {};\nexport function Card(props) { save(); fetch(u, { method: m }); return <button data-test=\"Bad Name\" onClick={() => 1}>{children ?? x}</button>; }\n",
+    "d.tsx": "export function Plain() { return <a href='x'>y</a>; }\nconst f = (x) => g(x);\nconst t = options.a ?? 1;\n",
+    "e.ts": "async function f(ids) { await Promise.all(ids.map((i) => db.query(i))); }\n",
+}
+
+
+@pytest.mark.parametrize(
+    "name, options, file",
+    [
+        ("async-call-disposition", {"calls": ["save"]}, "c.tsx"), ("module-mock-boundary", {"banned": ["./x"]}, "m.test.ts"), ("module-mock-preserve-exports", {}, "m.test.ts"), ("vitest-mock-test-file-naming", {}, "m.test.ts"),
+        ("nextjs-metadata-exports-location", {}, "c.tsx"), ("nextjs-static-fetch-method", {}, "c.tsx"), ("no-global-fetch-outside-helper", {}, "c.tsx"), ("no-import-only-test-files", {}, "a.test.ts"),
+        ("playwright-assertion-timeout-cap", {}, "m.test.ts"), ("playwright-consistent-attribute", {}, "c.tsx"), ("playwright-naming-convention", {}, "c.tsx"), ("playwright-require-interactive-test-id", {}, "d.tsx"),
+        ("playwright-require-exported-component-attribute", {}, "d.tsx"), ("playwright-selector-priority", {}, "m.test.ts"), ("postgres-no-unbounded-query-fanout", {}, "e.ts"), ("test-no-shared-state", {}, "m.test.ts"),
+        ("react-no-nullish-react-node", {}, "c.tsx"), ("ts-no-function-aliases", {}, "d.tsx"), ("ts-preserve-null-option-defaults", {}, "d.tsx"), ("no-banned-import-outside-allowed-paths", {"bans": []}, None),
+    ],
+)
+def test_lint_rules(lint, name, options, file):
+    assert {r.file for r in lint.check({name: options}).collect()} == ({file} if file else set())
+
+
+@pytest.fixture(scope="module")
+def lint(spark):
+    return Engine(spark, S.from_rows(spark, LINT))
+
+
 def test_suppression(spark):
     e = Engine(spark, S.from_rows(spark, {"a.tsx": "// no-mistakes-disable-next-line nextjs-no-manual-script-tags\nconst a = <script>;\nconst b = <script>;\n"}))
     assert [r.line for r in e.check({"nextjs-no-manual-script-tags": {}}).collect()] == [3]
@@ -108,7 +136,7 @@ def test_suppression(spark):
 def test_every_rule_runs_on_an_empty_snapshot(spark):
     e = Engine(spark, S.from_rows(spark, {"x": ""}))
     rules.register_repeats()
-    assert len(rules.RULES) >= 80
+    assert len(rules.RULES) >= 100
     for name in ("unique-exports", "postgres-fk-index", "github-actions-job-timeouts", "markdown-reachability", "workspace-package-cycles"):
         assert e.check({name: {}}).count() == 0
 
