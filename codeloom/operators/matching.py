@@ -73,7 +73,7 @@ def strict_prefixes(rows: DataFrame, group: list[str], columns: str, name: str)
 
 def last_before(events: DataFrame, by: list[str], at: str, is_query: Column, is_source: Column) -> DataFrame:
     """Query events with the latest time before theirs of a source event of their group."""
-    strict = Window.partitionBy(*by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
+    strict = Window.partitionBy(*by).orderBy(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', `{at}`)")).rangeBetween(Window.unboundedPreceding, -1)
     return events.withColumn("prior", F.max(F.when(is_source, F.col(at))).over(strict)).where(is_query)
 
 

@@ -233,9 +233,9 @@ def lockfile_diff(spark, d):
     return M.snapshot_diff(part.where("p_partkey % 3 <> 0"), part.where("p_partkey % 3 <> 1"), "name", ["p_type", "p_size"])
 
 
-@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
 def dead_exports(spark, d):
-    return read(spark, d, "part").select(F.col("p_partkey").alias("id")).join(read(spark, d, "lineitem").select(F.col("l_partkey").alias("id")), "id", "left_anti")
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id")).join(read(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("id")), "id", "left_anti")
 
 
 @query("SELECT p_partkey AS id, count(DISTINCT l_orderkey) AS importers FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
@@ -277,18 +277,18 @@ def required_section(spark, d):
     return read(spark, d, "documents").where(~F.col("text").rlike(r"(^|\n)[A-Z][^\n]*[.](\n|$)")).select("doc_id")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 150000)")
 def fk_index_anti(spark, d):
-    return read(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(read(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(read(spark, d, "orders").where("o_orderstatus = 'O' and o_totalprice > 150000").select(F.col("o_custkey").alias("id")), "id", "left_anti")
 
 
 @query(
-    """WITH p AS (SELECT p_partkey, p_brand, string_split(p_name, ' ') AS w FROM part)
-SELECT a.p_partkey, min(b.p_partkey) AS covered_by FROM p a JOIN p b ON a.p_brand = b.p_brand AND len(b.w) > len(a.w) AND b.w[1:len(a.w)] = a.w GROUP BY 1"""
+    """WITH p AS (SELECT p_partkey, p_brand, CAST(p_partkey AS VARCHAR) AS w FROM part)
+SELECT a.p_partkey, min(b.p_partkey) AS covered_by FROM p a JOIN p b ON a.p_brand = b.p_brand AND length(b.w) > length(a.w) AND starts_with(b.w, a.w) GROUP BY 1"""
 )
 def prefix_self_join(spark, d):
-    rows = read(spark, d, "part").select("p_partkey", "p_brand", F.split("p_name", " ").alias("words"))
-    return M.strict_prefixes(rows, ["p_brand"], "words", "p_partkey")
+    rows = read(spark, d, "part").select("p_partkey", "p_brand", F.split(F.col("p_partkey").cast("string"), "").alias("digits"))
+    return M.strict_prefixes(rows, ["p_brand"], "digits", "p_partkey")
 
 
 @query(
@@ -316,10 +316,10 @@ def nearest_ancestor(spark, d):
     return M.nearest_ancestor(pages, owners).select("page_id", "owner")
 
 
-@query("SELECT event_id, (SELECT max(v.ts) FROM events v WHERE v.user_id = e.user_id AND v.event_type = 'view' AND v.ts < e.ts) AS prior FROM events e WHERE event_type = 'purchase'")
+@query("SELECT * FROM (SELECT event_id, (SELECT epoch_us(max(v.ts)) FROM events v WHERE v.user_id = e.user_id AND v.event_type = 'view' AND v.ts < e.ts) AS prior FROM events e WHERE event_type = 'purchase') WHERE prior IS NOT NULL")
 def prior_step(spark, d):
     events = read(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
-    return M.last_before(events, ["user_id"], "ts", F.col("event_type") == "purchase", F.col("event_type") == "view").select("event_id", "prior")
+    return M.last_before(events, ["user_id"], "ts", F.col("event_type") == "purchase", F.col("event_type") == "view").select("event_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', prior)").alias("prior")).where("prior is not null")
 
 
 @query(
