@@ -166,3 +166,15 @@ def test_stream(spark, tmp_path):
     q = changes.each_batch(changes.watch(spark, str(tmp_path / "in")), lambda f: f.select("path"), str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination()
     assert [r.path for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a.ts"]
+
+
+def test_star_exports(spark):
+    from codeloom.operators.resolve import star_exports
+
+    rows = [
+        ("a", "own", None, False), ("a", None, "b", True), ("a", None, "c", True), ("b", "x", None, False), ("b", "own", None, False), ("b", "default", None, False),
+        ("c", "y", None, False), ("c", "both", None, False), ("b", "both", None, False), ("top", None, "a", True), ("loop", None, "top", True), ("top", None, "loop", True),
+    ]
+    got = {(r.file, r.name): r.origin for r in star_exports(spark.createDataFrame(rows, "file string, name string, target string, star boolean")).collect()}
+    assert got[("a", "own")] == "a" and got[("a", "x")] == "b" and got[("top", "y")] == "c" and got[("loop", "x")] == "b"
+    assert ("a", "both") not in got and ("a", "default") not in got
