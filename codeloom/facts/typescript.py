@@ -40,7 +40,8 @@ ELEMENT = re.compile(r"<([A-Z][\w$.]*)")
 DIRECTIVE = re.compile(r"""^\s*["']use (client|server)["']""")
 PROCEDURE = re.compile(r"\b([\w$]+)\s*:\s*[\w$.]*[pP]rocedure\b")
 TRPC_CALL = re.compile(r"\b(?:trpc|api)\.((?:[\w$]+\.)*[\w$]+)\.(?:useQuery|useMutation|query|mutate|fetch)\b")
-DISABLE = re.compile(r"no-mistakes-disable-(file|next-line|line)(?:\s+([\w-]+))?")
+#: A suppression under any tool's name but those of other linters.
+DISABLE = re.compile(r"(?<![\w-])(?!(?:eslint|oxlint|tslint|stylelint|biome|prettier)-)[a-z]+(?:-[a-z]+)*?-disable-(file|next-line|line)(?:[ \t]+([\w-]+))?")
 
 
 def text_of(groups) -> str | None:

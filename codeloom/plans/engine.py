@@ -30,9 +30,9 @@ class Engine:
         self.files = files.persist()
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str) -> Engine:
+    def open(cls, spark: SparkSession, root: str, config: str = ".codeloom.yml") -> Engine:
         files = S.scan(spark, root)
-        return cls(spark, files, S.config(files))
+        return cls(spark, files, S.config(files, config))
 
     # facts
 

@@ -128,7 +128,7 @@ def git_changes(spark: SparkSession, root: str, base: str, head: str = "HEAD") -
     return spark.createDataFrame(rows, "status string, path string, old_path string")
 
 
-def config(files: DataFrame, path: str = ".no-mistakes.yml") -> dict:
+def config(files: DataFrame, path: str = ".codeloom.yml") -> dict:
     """The typed configuration, read on the driver; an absent file is an empty one."""
     row = files.where(F.col("path") == path).select("content").first()
     return (documents.load(row[0], path) or {}) if row else {}

@@ -129,7 +129,7 @@ def lint(spark):
 
 
 def test_suppression(spark):
-    e = Engine(spark, S.from_rows(spark, {"a.tsx": "// no-mistakes-disable-next-line nextjs-no-manual-script-tags\nconst a = <script>;\nconst b = <script>;\n"}))
+    e = Engine(spark, S.from_rows(spark, {"a.tsx": "// any-tool-disable-next-line nextjs-no-manual-script-tags\nconst a = <script>;\nconst b = <script>;\n"}))
     assert [r.line for r in e.check({"nextjs-no-manual-script-tags": {}}).collect()] == [3]
 
 
