@@ -46,6 +46,8 @@ def visit(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, stop
     pairs = edges.select("src", "dst").distinct()
     if stop is not None:
         pairs = pairs.join(stop.select(F.col("id").alias("dst")), "dst", "left_anti")
+    if max_depth is None or max_depth > 1:
+        pairs = cut(pairs)  # read once a level, made once
     frontier = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     levels = [frontier]
     depth = 0
@@ -70,7 +72,7 @@ def traverse(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, k
     allowed = with_kinds(edges, kinds)
     if universe is not None:
         allowed = allowed.join(universe.select(F.col("id").alias("dst")), "dst", "left_semi")
-    seen = visit(allowed, roots, max_depth)
+    seen = cut(visit(allowed, roots, max_depth))
     left = seen if max_depth is None else seen.where(F.col("depth") < max_depth)
     used = allowed.join(left.select(F.col("id").alias("src")), "src", "left_semi")
     return seen.where("depth > 0").join(via_sets(used), "id")
@@ -90,7 +92,7 @@ def related_edges(edges: DataFrame, roots: DataFrame, max_depth: int | None = No
 
 def first_parents(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """id, depth, parent, kind: the breadth-first tree (W1); among parents a level up the least (parent, kind) wins."""
-    seen = visit(edges, roots, max_depth)
+    seen = cut(visit(edges, roots, max_depth))
     up = seen.select(F.col("id").alias("parent"), (F.col("depth") + 1).alias("_d"))
     arcs = edges.join(up, F.col("src") == F.col("parent")).join(seen, (F.col("dst") == F.col("id")) & (F.col("depth") == F.col("_d")))
     return arcs.groupBy("id", "depth").agg(F.min(F.struct("parent", "kind")).alias("p")).select("id", "depth", "p.parent", "p.kind")
