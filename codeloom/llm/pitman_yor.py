@@ -1,20 +1,22 @@
 """Operator 8: language-model scores of a hierarchical Pitman-Yor model.
 
-Dishes are the frequent words (at least 1/FREQUENT of the training tokens, so
-at most FREQUENT of them), the end of a text, and one dish for all rare words.
-A context restaurant for each preceding dish has the root restaurant as its
-parent; rare words are told apart by a restaurant of their own. Seating is
+Dishes are all training words, the end of a text, and one outcome for words
+that training texts don't have. A context restaurant for each preceding word
+has the root restaurant as its parent, whose base is uniform. Seating is
 sampled: each sweep reseats the customers of every dish in turn, given all
 other tables, in all restaurants of a shard at once. Between rounds the root is
 reseated by the tables that all shards opened. Predictive probabilities are
 averaged over the last rounds.
 
-Nothing that grows with the corpus is gathered in one place: counts and
-probabilities are kept in shards, and documents' words are looked up there.
+Nothing that grows with the corpus is gathered in one place. Context
+restaurants are sharded by context and the root by word: a round sends each
+shard's opened tables to its words' shards, and the root's tables of those
+words back. Documents' cells (context, word) are looked up in shards of scores.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import common
 
-FREQUENT = 60_000
 #: Cells (context, word) with at least this share of the training tokens are scored where the texts are read; there are as many at most.
 HOT_CELLS = 4096
 #: Tokens a shard should hold, about.
@@ -35,9 +36,10 @@ SWEEPS, ROUNDS, BURN_IN = 3, 3, 1
 STRENGTH = 1.0
 SEED = 8
 END = common.hash_strings(pa.array(["\n"], pa.large_string()))[0]
+BEGIN = common.hash_strings(pa.array(["\t"], pa.large_string()))[0]
 POSTINGS = pa.schema([("shard", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()), *[(c, pa.binary()) for c in ("keys", "spans", "texts", "times", "known", "base", "score")]])
 POSTINGS_SQL = "shard int, slice bigint, kind int, keys binary, spans binary, texts binary, times binary, known binary, base binary, score binary"
-INFO, CELL, RARE = 0, 1, 2
+INFO, CELL = 0, 1
 
 
 def seat(rng: np.random.Generator, customers: np.ndarray, opens: np.ndarray, discount: float) -> np.ndarray:
@@ -61,20 +63,10 @@ def seat(rng: np.random.Generator, customers: np.ndarray, opens: np.ndarray, dis
 
 
 class Words:
-    """The frequent words' numbers; the end is `end`, rare words `rare`, and a text's beginning `begin`."""
+    """What is known of the training words as a whole."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, end_count: int, total: int, types: int):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
-        self.end, self.rare, self.begin = len(keys), len(keys) + 1, len(keys) + 2
-        self.dishes = len(keys) + 2
-        self.total, self.types, self.end_count = total, types, end_count
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(hashes), self.rare)
-        spot = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[spot] == hashes, spot, self.rare)
+    def __init__(self, total: int, types: int):
+        self.total, self.types = total, types
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.types + 1)))
@@ -91,116 +83,89 @@ def tokens_of(part: pa.RecordBatch):
     return index, hashes, ends
 
 
-def cells_of(index: np.ndarray, numbers: np.ndarray, ends: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, context << 16 | dish) of every token, ends included, text by text."""
+def cells_of(index: np.ndarray, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct cells' keys, contexts and words, and (text, cell's place) of every token, ends included, text by text."""
+    names = np.append(hashes, np.array([END, BEGIN], np.uint64))
     size = np.diff(ends) + 1
     upto = np.concatenate([[0], np.cumsum(size)])
-    dish = np.full(int(upto[-1]), words.end, np.int64)
+    dish = np.full(int(upto[-1]), len(hashes), np.int64)
     doc = np.repeat(np.arange(len(size)), size)
     inner = np.ones(len(dish), bool)
     inner[upto[1:] - 1] = False
-    dish[inner] = numbers[index]
+    dish[inner] = index
     before = np.empty_like(dish)
     before[1:] = dish[:-1]
-    before[upto[:-1]] = words.begin
-    return doc, before << 16 | dish
-
-
-def sharded(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (common.mix64(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-
-
-def vocabulary(docs: DataFrame, shards: int) -> DataFrame:
-    """shard, keys, counts: the training words' hashes and counts, sorted, a row a shard; and tokens and ends."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends_seen, held, size = 0, [], 0
-
-        def put():
-            keys, counts = merged(held)
-            where = sharded(keys, shards)
-            for k in range(shards):
-                own = where == k
-                if own.any():
-                    yield pa.RecordBatch.from_pydict({"shard": [k], "keys": [keys[own].tobytes()], "counts": [counts[own].tobytes()], "ends": [0]}, VOCABULARY)
-
-        for batch in batches:
-            train = batch.filter(pa.array(~held_out(batch.column(0).to_pylist())))
-            ends_seen += train.num_rows
-            for part in common.slices(train):
-                index, hashes, _ = tokens_of(part)
-                held.append((hashes, np.bincount(index, minlength=len(hashes))))
-                size += len(hashes)
-                if size > 3_000_000:
-                    yield from put()
-                    held, size = [], 0
-        yield from put()
-        yield pa.RecordBatch.from_pydict({"shard": [0], "keys": [b""], "counts": [b""], "ends": [ends_seen]}, VOCABULARY)
+    before[upto[:-1]] = len(hashes) + 1
+    pairs, place = np.unique(before * len(names) + dish, return_inverse=True)
+    contexts, words = names[pairs // len(names)], names[pairs % len(names)]
+    return cell_keys(contexts, words), contexts, words, doc, place
 
-    def add(group: pa.Table) -> pa.Table:
-        lists = [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for k, c in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True)]
-        keys, counts = merged(lists)
-        return pa.Table.from_pydict({"shard": [group.column("shard")[0].as_py()], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "ends": [sum(group.column("ends").to_pylist())]}, VOCABULARY)
 
-    sql = "shard int, keys binary, counts binary, ends bigint"
-    return common.stored(docs.mapInArrow(count, sql).groupBy("shard").applyInArrow(add, sql), "lm-words")
+def cell_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of (context, word)."""
+    with np.errstate(over="ignore"):
+        return common.mix64(common.mix64(contexts + np.uint64(0x9E3779B97F4A7C15)) + words)
 
 
-VOCABULARY = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("ends", pa.int64())])
+def sharded(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (common.mix64(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
-def merged(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of the lists, and their summed counts."""
+def merged(lists: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (contexts, words) of the lists, sorted, and their summed counts."""
     if not lists:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, counts = (np.concatenate(x) for x in zip(*lists, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    contexts, words, counts = (np.concatenate(x) for x in zip(*lists, strict=True))
+    order = np.lexsort((words, contexts))
+    contexts, words, counts = contexts[order], words[order], counts[order].astype(np.int64)
+    first = heads(contexts, words)
+    return contexts[first], words[first], (np.add.reduceat(counts, first) if len(first) else counts)
 
 
-def frequent_words(spark: SparkSession, vocab: DataFrame) -> Words:
-    """The frequent words, at most FREQUENT of them."""
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for counts, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(counts, np.int64)
-                yield pa.RecordBatch.from_pydict({"types": [len(c)], "tokens": [int(c.sum())], "ends": [ends]})
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
 
-    got = vocab.select("counts", "ends").mapInArrow(totals, "types bigint, tokens bigint, ends bigint").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "ends")]).first()
-    total, types = got[1] + got[2], got[0] + (got[2] > 0)
-    least = max(1, -(-total // FREQUENT))
 
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k, c = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
-                yield pa.RecordBatch.from_pydict({"key": k[c >= least], "n": c[c >= least]}, pa.schema([("key", pa.int64()), ("n", pa.int64())]))
+CELLS = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("contexts", "spans", "words", "dishes", "counts")]])
+CELLS_SQL = "shard int, contexts binary, spans binary, words binary, dishes binary, counts binary"
+
 
-    rows = vocab.select("keys", "counts").mapInArrow(often, "key bigint, n bigint").toArrow()
-    return Words(rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy(), got[2], total, types)
+def cell_counts(docs: DataFrame, shards: int) -> DataFrame:
+    """The cells of all texts with their training counts, 0 for held-out ones alone: a row a shard, all of a context in one.
 
+    contexts are distinct, spans their numbers of cells; dishes are places in the shard's distinct, sorted words.
+    """
+    def packed(shard: int, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, known: bool) -> pa.RecordBatch:
+        first = heads(contexts)
+        names, places = np.unique(words, return_inverse=True) if known else (words, np.zeros(0))
+        return pa.RecordBatch.from_pydict(
+            {"shard": [shard], "contexts": [contexts[first].tobytes()], "spans": [np.diff(np.append(first, len(contexts))).astype(np.uint32).tobytes()], "words": [names.tobytes()]}
+            | {"dishes": [places.astype(np.uint32).tobytes()], "counts": [counts.astype(np.uint32).tobytes()]},
+            CELLS,
+        )
 
-def cell_counts(docs: DataFrame, sent, shards: int) -> DataFrame:
-    """shard, keys, counts: the training cells, all of a context in one shard. A context has at most as many as there are dishes."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = sent.value, [], 0
+        held, size = [], 0
 
         def put():
-            keys, counts = merged(held)
-            where = sharded(keys >> np.uint64(16), shards)
+            contexts, words, counts = merged(held)
+            where = sharded(contexts, shards)
             for k in range(shards):
                 own = where == k
                 if own.any():
-                    yield pa.RecordBatch.from_pydict({"shard": [k], "keys": [keys[own].astype(np.uint32).tobytes()], "counts": [counts[own].astype(np.uint32).tobytes()]}, CELLS)
+                    yield packed(k, contexts[own], words[own], counts[own], False)
 
         for batch in batches:
-            train = batch.filter(pa.array(~held_out(batch.column(0).to_pylist())))
-            for part in common.slices(train):
-                index, hashes, ends = tokens_of(part)
-                _, cells = cells_of(index, words.numbers(hashes), ends, words)
-                held.append(tuple(np.unique(cells.astype(np.uint64), return_counts=True)))
-                size += len(held[-1][0])
+            train = ~held_out(batch.column(0).to_pylist())
+            at = 0
+            for part in common.slices(batch):
+                _, contexts, words, doc, place = cells_of(*tokens_of(part))
+                held.append((contexts, words, np.bincount(place, weights=train[at : at + part.num_rows][doc], minlength=len(words)).astype(np.int64)))
+                at += part.num_rows
+                size += len(words)
                 if size > 3_000_000:
                     held = [merged(held)]
                     size = len(held[0][0])
@@ -210,23 +175,74 @@ def cell_counts(docs: DataFrame, sent, shards: int) -> DataFrame:
         yield from put()
 
     def add(group: pa.Table) -> pa.Table:
-        keys, counts = merged([(np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32)) for k, c in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True)])
-        return pa.Table.from_pydict({"shard": [group.column("shard")[0].as_py()], "keys": [keys.tobytes()], "counts": [counts.astype(np.uint32).tobytes()]}, CELLS)
+        lists = []
+        for contexts, spans, words, counts in zip(*(group.column(c).to_pylist() for c in ("contexts", "spans", "words", "counts")), strict=True):
+            lists.append((np.repeat(np.frombuffer(contexts, np.uint64), np.frombuffer(spans, np.uint32)), np.frombuffer(words, np.uint64), np.frombuffer(counts, np.uint32)))
+        out = pa.Table.from_batches([packed(group.column("shard")[0].as_py(), *merged(lists), True)])
+        del lists
+        common.give_back()
+        return out
 
-    sql = "shard int, keys binary, counts binary"
-    return common.stored(docs.mapInArrow(count, sql).groupBy("shard").applyInArrow(add, sql), "lm-cells")
+    return common.stored(docs.mapInArrow(count, CELLS_SQL).groupBy("shard").applyInArrow(add, CELLS_SQL), "lm-cells")
 
 
-CELLS = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+ASKED = pa.schema([("shard", pa.int32()), ("asker", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+ASKED_SQL = "shard int, asker int, words binary, counts binary"
+#: round -1 holds the words' training counts as tables; shard -1 holds sums: the root's customers, its tables, and its words with customers.
+REPLY = pa.schema([("shard", pa.int32()), ("round", pa.int32()), ("by", pa.int32()), ("tables", pa.binary()), ("own", pa.binary()), ("sums", pa.list_(pa.int64()))])
+REPLY_SQL = "shard int, round int, by int, tables binary, own binary, sums array<bigint>"
+
+
+def asked(shard: int, words: np.ndarray, counts: np.ndarray, shards: int, named: bool) -> Iterator[dict]:
+    """A shard's counts of its words for the shards of the root; the words themselves only if named."""
+    where = sharded(words, shards)
+    for k in range(shards):
+        own = where == k
+        if own.any():
+            yield {"shard": k, "asker": shard, "words": words[own].tobytes() if named else b"", "counts": counts[own].astype(np.uint32).tobytes()}
+
+
+def root_words(cells: DataFrame, shards: int) -> DataFrame:
+    """shard, words, counts, askers, spots: the words of the root's shards, and each asking shard's words as places among them."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, words, dishes, counts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                words = np.frombuffer(words, np.uint64)
+                sums = np.bincount(np.frombuffer(dishes, np.uint32), weights=np.frombuffer(counts, np.uint32), minlength=len(words))
+                for row in asked(shard, words, sums, shards, True):
+                    yield pa.RecordBatch.from_pylist([row], ASKED)
+
+    def add(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["asker"])
+        lists = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        words = np.unique(np.concatenate(lists))
+        counts, spots = np.zeros(len(words), np.int64), [np.searchsorted(words, x) for x in lists]
+        for r, at in zip(rows, spots, strict=True):
+            counts[at] += np.frombuffer(r["counts"], np.uint32)
+        return pa.Table.from_pydict({"shard": [rows[0]["shard"]], "counts": [counts.tobytes()], "askers": [[r["asker"] for r in rows]], "spots": [[x.astype(np.uint32).tobytes() for x in spots]]}, ROOT)
+
+    return common.stored(cells.select("shard", "words", "dishes", "counts").mapInArrow(ask, ASKED_SQL).groupBy("shard").applyInArrow(add, ROOT_SQL), "lm-words")
+
+
+ROOT = pa.schema([("shard", pa.int32()), ("counts", pa.binary()), ("askers", pa.list_(pa.int32())), ("spots", pa.list_(pa.binary()))])
+ROOT_SQL = "shard int, counts binary, askers array<int>, spots array<binary>"
+
+
+def replies(shard: int, round_: int, tables: np.ndarray, own: np.ndarray, askers: list, spots: list) -> list[dict]:
+    out = [{"shard": -1, "round": round_, "by": shard, "tables": b"", "own": b"", "sums": [int(tables.sum()), int(own.sum()), int((tables > 0).sum())]}]
+    for asker, at in zip(askers, spots, strict=True):
+        at = np.frombuffer(at, np.uint32)
+        out.append({"shard": asker, "round": round_, "by": shard, "tables": tables[at].astype(np.uint32).tobytes(), "own": own[at].astype(np.uint32).tobytes(), "sums": []})
+    return out
 
 
 class Restaurants:
     """A shard's context restaurants: cells sorted by context, their customers and tables."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, shard: int, discount: float):
-        self.keys, self.counts, self.discount, self.shard = keys, counts.astype(np.int64), discount, shard
-        self.context, self.dish = keys >> 16, keys & 0xFFFF
-        self.first = np.flatnonzero(np.concatenate([[True], self.context[1:] != self.context[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, shard: int, discount: float, bits: int = 16):
+        self.counts, self.discount, self.shard = counts.astype(np.int64), discount, shard
+        self.dish = keys & ((1 << bits) - 1)
+        self.first = heads(keys >> bits)
         self.of = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(keys))))
         self.customers = np.add.reduceat(self.counts, self.first) if len(keys) else np.zeros(0, np.int64)
 
@@ -247,15 +263,25 @@ class Restaurants:
         return (self.counts - self.discount * tables) / room[self.of] + back[self.of] * after[self.dish], back
 
 
-def reseat_root(tables: np.ndarray, discount: float, round_: int) -> np.ndarray:
-    """The root's predictive probabilities: its customers are the tables below, its base is uniform."""
-    n = len(tables)
-    rng = np.random.default_rng([SEED, 1 << 20, round_])
+def root_tables(tables: np.ndarray, discount: float, round_: int, n: int, shard: int = 0, elsewhere: float = 0.0) -> np.ndarray:
+    """Tables of a shard's dishes in the root: its customers are the tables below. elsewhere: the root's tables in other shards."""
+    rng = np.random.default_rng([SEED, 1 << 20, round_, shard])
     own = np.minimum(tables, 1)
     for _ in range(SWEEPS):
-        own = seat(rng, tables, (STRENGTH + discount * (own.sum() - own + 1)) / n * np.ones(n), discount)
-    room = STRENGTH + tables.sum()
-    return (tables - discount * own) / room + (STRENGTH + discount * own.sum()) / room / n
+        own = seat(rng, tables, (STRENGTH + discount * (elsewhere + own.sum() - own + 1)) / n * np.ones(len(tables)), discount)
+    return own
+
+
+def root_chances(tables: np.ndarray, own: np.ndarray, customers: int, opened: int, n: int, discount: float) -> np.ndarray:
+    """The root's predictive probabilities; its base is uniform over n dishes."""
+    room = STRENGTH + customers
+    return (tables - discount * own) / room + (STRENGTH + discount * opened) / room / n
+
+
+def reseat_root(tables: np.ndarray, discount: float, round_: int) -> np.ndarray:
+    """The probabilities of a root that lies in one shard."""
+    own = root_tables(tables, discount, round_, len(tables))
+    return root_chances(tables, own, tables.sum(), own.sum(), len(tables), discount)
 
 
 def discount_of(once: int, twice: int) -> float:
@@ -263,134 +289,166 @@ def discount_of(once: int, twice: int) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
-def restaurants_in(batches: Iterator[pa.RecordBatch], discount: float) -> Iterator[Restaurants]:
-    for batch in batches:
-        for shard, keys, counts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            yield Restaurants(np.frombuffer(keys, np.uint32).astype(np.int64), np.frombuffer(counts, np.uint32), shard, discount)
+def restaurants_of(row: dict, discount: float) -> Restaurants:
+    spans, dish = np.frombuffer(row["spans"], np.uint32), np.frombuffer(row["dishes"], np.uint32).astype(np.int64)
+    return Restaurants(np.repeat(np.arange(len(spans)), spans) << 32 | dish, np.frombuffer(row["counts"], np.uint32), row["shard"], discount, 32)
 
 
-class Model:
-    """What every task needs: sizes bounded by FREQUENT, whatever the corpus."""
-
-    def __init__(self, words: Words, roots: list[np.ndarray], discount: float, rare: dict):
-        self.words, self.roots, self.discount, self.rare = words, roots, discount, rare
-        self.hot_cells, self.hot_scores = np.zeros(0, np.int64), np.zeros(0)
-        self.backs = np.ones((len(roots) - 1, words.dishes + 1))
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs whose results are stored: it does so once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
 
-    def unseen(self, cells: np.ndarray) -> np.ndarray:
-        """Mean probability of cells without customers, by the contexts' weights of the root."""
-        kept = range(BURN_IN, len(self.roots) - 1)
-        return sum(self.backs[r][cells >> 16] * self.roots[r + 1][cells & 0xFFFF] for r in kept) / len(kept)
 
-
-def fit(docs: DataFrame, words: Words, shards: int, rare: dict) -> tuple[Model, DataFrame]:
-    """The model, and the cells' scores (shard, keys, scores as log10) in shards of their own."""
+class Model:
+    """What every task needs, the same size whatever the corpus: sums of each round's root, and at most HOT_CELLS scores."""
+
+    def __init__(self, words: Words, discount: float):
+        self.words, self.discount = words, discount
+        #: round: the root's customers and tables
+        self.sums: dict[int, tuple[int, int]] = {}
+        self.hot_cells, self.hot_scores, self.hot_counts = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+
+    def roots(self, words: np.ndarray, rows: list[dict], shards: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+        """The root's probabilities of a shard's words by round, and their training counts, from the replies to it."""
+        where = sharded(words, shards)
+        spots = {k: np.flatnonzero(where == k) for k in {r["by"] for r in rows}}
+        tables, own = ({k: np.zeros(len(words), np.uint32) for k in {r["round"] for r in rows}} for _ in range(2))
+        for r in rows:
+            tables[r["round"]][spots[r["by"]]] = np.frombuffer(r["tables"], np.uint32)
+            own[r["round"]][spots[r["by"]]] = np.frombuffer(r["own"], np.uint32)
+        n = self.words.types + 1
+        out = {k: root_chances(tables[k], own[k], *self.sums[k], n, self.discount) for k in {r["round"] for r in rows} if k >= 0}
+        if any(r["round"] < 0 for r in rows):
+            out[-1] = (tables[-1] + 1.0) / (self.words.total + n)
+        return out, tables.get(-1)
+
+
+def fit(docs: DataFrame, shards: int) -> tuple[Model, DataFrame]:
+    """The model, and the cells' scores (shard, keys, scores as log10, counts of the words) in shards of their own."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(words)
-    cells = cell_counts(docs, sent, shards)
+    cells = cell_counts(docs, shards)
+    root = root_words(cells, shards)
+    free_shuffles(spark)
 
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in restaurants_in(batches, 0.5):
-            yield pa.RecordBatch.from_pydict({"once": [int((r.counts == 1).sum())], "twice": [int((r.counts == 2).sum())]})
+        for batch in batches:
+            for counts in batch.column(0).to_pylist():
+                c = np.frombuffer(counts, np.uint32)
+                yield pa.RecordBatch.from_pydict({"once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]})
 
-    got = cells.mapInArrow(few, "once bigint, twice bigint").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("once", "twice")]).first()
+    got = cells.select("counts").mapInArrow(few, "once bigint, twice bigint").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("once", "twice")]).first()
     discount = discount_of(*got)
-    start = np.concatenate([words.counts, [words.end_count, max(0, words.total - words.end_count - int(words.counts.sum()))]]) + 1.0
-    roots = [start / start.sum()]
-    for k in range(ROUNDS):
-        root = spark.sparkContext.broadcast(roots[-1])
-
-        def tables(batches: Iterator[pa.RecordBatch], root=root, k=k) -> Iterator[pa.RecordBatch]:
-            for r in restaurants_in(batches, discount):
-                opened = np.bincount(r.dish, weights=r.sample(root.value, k)[0], minlength=len(root.value)).astype(np.int64)
-                some = np.flatnonzero(opened)
-                yield pa.RecordBatch.from_pydict({"dish": some, "n": opened[some]})
-
-        sums = np.zeros(words.dishes, np.int64)
-        for dish, n in cells.mapInArrow(tables, "dish bigint, n bigint").groupBy("dish").agg(F.sum("n")).collect():
-            sums[dish] = n
-        roots.append(reseat_root(sums, discount, k))
-    model = Model(words, roots, discount, rare)
-    everything = spark.sparkContext.broadcast(roots)
-    hot = max(1, -(-words.total // HOT_CELLS))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = everything.value
-        for r in restaurants_in(batches, discount):
-            mean = np.zeros(len(r.keys))
-            for k in range(ROUNDS):
-                seated, opened = r.sample(roots[k], k)
-                p, back = r.predict(roots[k], seated, opened, roots[k + 1])
-                mean += p / (ROUNDS - BURN_IN) * (k >= BURN_IN)
-                yield pa.RecordBatch.from_pydict({"kind": [10 + k], "shard": [0], "keys": [r.context[r.first].tobytes()], "scores": [back.tobytes()]}, SCORES)
-            mean = np.log10(mean)
-            much = r.counts >= hot
-            yield pa.RecordBatch.from_pydict({"kind": [1], "shard": [0], "keys": [r.keys[much].tobytes()], "scores": [mean[much].tobytes()]}, SCORES)
-            where = sharded(r.keys, shards)
-            order = np.argsort(where, kind="stable")
-            ends = np.searchsorted(where[order], np.arange(shards + 1))
-            for s in range(shards):
-                own = order[ends[s] : ends[s + 1]]
-                yield pa.RecordBatch.from_pydict({"kind": [0], "shard": [s], "keys": [r.keys[own].astype(np.uint64).tobytes()], "scores": [mean[own].tobytes()]}, SCORES)
-
-    scores = common.stored(cells.mapInArrow(score, "kind int, shard int, keys binary, scores binary"), "lm-scores")
-    for kind, keys, values in scores.where("kind > 0").select("kind", "keys", "scores").collect():
-        keys, values = np.frombuffer(keys, np.int64), np.frombuffer(values, np.float64)
-        if kind == 1:
-            model.hot_cells, model.hot_scores = np.append(model.hot_cells, keys), np.append(model.hot_scores, values)
-        else:
-            model.backs[kind - 10][keys] = values
-    order = np.argsort(model.hot_cells)
-    model.hot_cells, model.hot_scores = model.hot_cells[order], model.hot_scores[order]
-    return model, scores.where("kind = 0").select("shard", "keys", "scores")
-
-
-SCORES = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("scores", pa.binary())])
 
-
-def rare_restaurant(vocab: DataFrame, words: Words, discount: float = 0.5) -> dict:
-    """Customers and tables of the restaurant that tells rare words apart; its base gives 1 / (types + 1) to each."""
-    least, types = max(1, -(-words.total // FREQUENT)), words.types
-
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(counts, np.int64)
-                c = c[c < least]
-                t = rare_tables(c, shard, types, discount)
-                yield pa.RecordBatch.from_pydict({"customers": [int(c.sum())], "tables": [int(t.sum())]})
-
-    got = vocab.select("shard", "counts").mapInArrow(tables, "customers bigint, tables bigint").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "tables")]).first()
-    return {"customers": got[0], "tables": got[1], "discount": discount, "types": types, "least": least}
+            for r in batch.to_pylist():
+                counts = np.frombuffer(r["counts"], np.int64)
+                yield pa.RecordBatch.from_pylist(replies(r["shard"], -1, counts, np.zeros_like(counts), r["askers"], r["spots"]), REPLY)
+
+    answers = [common.stored(root.mapInArrow(begin, REPLY_SQL), "lm-root")]
+    sums = {r["by"]: r["sums"] for r in answers[0].where("shard < 0").select("by", "sums").collect()}
+    model = Model(Words(*(sum(s[k] for s in sums.values()) for k in (0, 2))), discount)
+    model.sums[-1] = (model.words.total, 0)
+    # every word has a table of the root at first
+    opened = {k: s[2] for k, s in sums.items()}
+    for k in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((model, opened))
+
+        def tables(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
+            out = []
+            for row in rows.to_pylist():
+                r, words = restaurants_of(row, discount), np.frombuffer(row["words"], np.uint64)
+                roots, _ = sent.value[0].roots(words, answers.to_pylist(), shards)
+                seated, _ = r.sample(roots[k - 1], k)
+                out += asked(row["shard"], words, np.bincount(r.dish, weights=seated, minlength=len(words)), shards, False)
+            return pa.Table.from_pylist(out, ASKED)
+
+        def reseat(key, rows: pa.Table, messages: pa.Table) -> pa.Table:
+            out = []
+            for row in rows.to_pylist():
+                model, opened = sent.value
+                total, spots = np.zeros(len(row["counts"]) // 8, np.int64), dict(zip(row["askers"], row["spots"], strict=True))
+                for m in messages.to_pylist():
+                    total[np.frombuffer(spots[m["asker"]], np.uint32)] += np.frombuffer(m["counts"], np.uint32)
+                own = root_tables(total, discount, k, model.words.types + 1, row["shard"], sum(opened.values()) - opened[row["shard"]])
+                out += replies(row["shard"], k, total, own, row["askers"], row["spots"])
+            return pa.Table.from_pylist(out, REPLY)
+
+        messages = cells.groupBy("shard").cogroup(answers[-1].where("shard >= 0").groupBy("shard")).applyInArrow(tables, ASKED_SQL)
+        answers.append(common.stored(root.groupBy("shard").cogroup(messages.groupBy("shard")).applyInArrow(reseat, REPLY_SQL), "lm-root"))
+        sums = {r["by"]: r["sums"] for r in answers[-1].where("shard < 0").select("by", "sums").collect()}
+        model.sums[k] = tuple(sum(s[i] for s in sums.values()) for i in range(2))
+        opened = {k: s[1] for k, s in sums.items()}
+        del messages
+        free_shuffles(spark)
+    everything = spark.sparkContext.broadcast(model)
+    hot = max(1, -(-model.words.total // HOT_CELLS))
+
+    def score(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for row in rows.to_pylist():
+            r, words = restaurants_of(row, discount), np.frombuffer(row["words"], np.uint64)
+            roots, counts = everything.value.roots(words, answers.to_pylist(), shards)
+            mean = np.zeros(len(r.counts))
+            for k in range(BURN_IN, ROUNDS):
+                mean += r.predict(roots[k - 1], *r.sample(roots[k - 1], k), roots[k])[0] / (ROUNDS - BURN_IN)
+            del roots
+            mean, counts = np.log10(mean), counts[r.dish].astype(np.uint32)
+            keys = cell_keys(np.repeat(np.frombuffer(row["contexts"], np.uint64), np.frombuffer(row["spans"], np.uint32)), words[r.dish])
+            where = np.where(r.counts >= hot, -1, sharded(keys, shards)).astype(np.int32)
+            del r, words
+            order = np.argsort(where, kind="stable")
+            ends = np.searchsorted(where[order], np.arange(-1, shards + 1))
+            for s in range(-1, shards):
+                own = order[ends[s + 1] : ends[s + 2]]
+                if len(own):
+                    out.append({"shard": s, "keys": keys[own].tobytes(), "scores": mean[own].tobytes(), "counts": counts[own].tobytes()})
+            del mean, counts, keys, where, order, own
+        made = pa.Table.from_pylist(out, SCORES)
+        del out
+        common.give_back()
+        return made
+
+    heard = answers[0].where("shard >= 0")
+    for a in answers[1:]:
+        heard = heard.unionByName(a.where("shard >= 0"))
+    scores = common.stored(cells.groupBy("shard").cogroup(heard.groupBy("shard")).applyInArrow(score, "shard int, keys binary, scores binary, counts binary"), "lm-scores")
+    rows = scores.where("shard < 0").collect()
+    if rows:
+        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+        order = np.argsort(keys)
+        model.hot_cells, model.hot_scores, model.hot_counts = (np.concatenate([np.frombuffer(r[c], t) for r in rows])[order] for c, t in (("keys", np.uint64), ("scores", np.float64), ("counts", np.uint32)))
+    for made in (cells, root, *answers):
+        common.forget(made)
+    del cells, root, answers, heard
+    free_shuffles(spark)
+    return model, scores.where("shard >= 0")
 
 
-def rare_tables(counts: np.ndarray, shard: int, types: int, discount: float) -> np.ndarray:
-    rng = np.random.default_rng([SEED, 1 << 21, shard])
-    return seat(rng, counts, np.full(len(counts), (STRENGTH + discount * types) / (types + 1)), discount)
+SCORES = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("scores", pa.binary()), ("counts", pa.binary())])
 
 
 def postings(docs: DataFrame, sent, shards: int) -> DataFrame:
-    """A row of INFO for each slice of texts, and rows of CELL and RARE keys for the shards that know them.
+    """A row of INFO for each slice of texts, and rows of CELL keys for the shards that know them.
 
     A row of keys holds each distinct key of the slice once, and the texts it
     is in; a slice's texts are numbered within it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        words, least, number = model.words, model.rare["least"], 0
+        model, number = sent.value, 0
         for batch in batches:
             for part in common.slices(batch):
                 index, hashes, ends = tokens_of(part)
-                numbers = words.numbers(hashes)
                 n = part.num_rows
-                doc, cells = cells_of(index, numbers, ends, words)
-                dish = cells & 0xFFFF
-                counts = np.append(words.counts, [words.end_count, 0])
-                known = np.bincount(doc, weights=(counts[dish] > 0), minlength=n)
-                base = np.bincount(doc, weights=np.where(dish != words.rare, words.base(counts)[dish], 0.0), minlength=n)
-                spot = np.minimum(np.searchsorted(model.hot_cells, cells), max(0, len(model.hot_cells) - 1))
-                hot = model.hot_cells[spot] == cells if len(model.hot_cells) else np.zeros(len(cells), bool)
-                score = np.bincount(doc[hot], weights=model.hot_scores[spot[hot]], minlength=n)
+                keys, _, _, doc, place = cells_of(index, hashes, ends)
+                spot = np.minimum(np.searchsorted(model.hot_cells, keys), max(0, len(model.hot_cells) - 1))
+                hot = model.hot_cells[spot] == keys if len(model.hot_cells) else np.zeros(len(keys), bool)
+                at = hot[place]
+                theirs = spot[place[at]]
+                known = np.bincount(doc[at], weights=model.hot_counts[theirs] > 0, minlength=n)
+                base = np.bincount(doc[at], weights=model.words.base(model.hot_counts[theirs]), minlength=n)
+                score = np.bincount(doc[at], weights=model.hot_scores[theirs], minlength=n)
                 name = (TaskContext.get().partitionId() << 32) + number
                 number += 1
                 ids = part.column(0)
@@ -401,21 +459,15 @@ def postings(docs: DataFrame, sent, shards: int) -> DataFrame:
                     | {"known": [known.astype(np.int32).tobytes()], "base": [base.tobytes()], "score": [score.tobytes()]},
                     POSTINGS,
                 )
-                rare = np.flatnonzero(numbers[index] == words.rare)
-                text = np.repeat(np.arange(n), np.diff(ends))
-                yield from keyed(name, CELL, np.unique(cells[~hot]), cells[~hot], doc[~hot], shards)
-                if len(rare):
-                    keys, back = np.unique(hashes, return_inverse=True)
-                    yield from keyed(name, RARE, keys, back[index[rare]], text[rare], shards, ranked=True)
+                yield from keyed(name, keys, place[~at], doc[~at], shards)
 
     return docs.mapInArrow(run, POSTINGS_SQL)
 
 
-def keyed(name: int, kind: int, distinct: np.ndarray, keys: np.ndarray, doc: np.ndarray, shards: int, ranked: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows of a slice's (key, text) pairs by shard. ranked: keys are places in `distinct`."""
-    place = keys if ranked else np.searchsorted(distinct, keys)
+def keyed(name: int, distinct: np.ndarray, place: np.ndarray, doc: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a slice's (key's place in `distinct`, text) pairs by shard."""
     width = int(doc.max(initial=0)) + 1
-    pairs, times = np.unique(place.astype(np.int64) * width + doc, return_counts=True)
+    pairs, times = np.unique(place * width + doc, return_counts=True)
     place, doc = pairs // width, pairs % width
     where = sharded(distinct, shards)[place]
     order = np.argsort(where, kind="stable")
@@ -427,7 +479,7 @@ def keyed(name: int, kind: int, distinct: np.ndarray, keys: np.ndarray, doc: np.
             continue
         own = place[a:b]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        row = {"shard": [s], "slice": [name], "kind": [kind], "keys": [distinct[own[first]].astype(np.uint64 if kind == RARE else np.uint32).tobytes()]}
+        row = {"shard": [s], "slice": [name], "kind": [CELL], "keys": [distinct[own[first]].tobytes()]}
         row |= {"spans": [np.diff(np.append(first, len(own))).astype(np.uint16 if width <= 65535 else np.uint32).tobytes()], "texts": [doc[a:b].astype(np.uint16 if width <= 65535 else np.uint32).tobytes()]}
         row |= {"times": [times[a:b].astype(np.uint8 if times[a:b].max() < 256 else np.uint32).tobytes()]}
         yield pa.RecordBatch.from_pydict(row | {c: [None] for c in ("known", "base", "score")}, POSTINGS)
@@ -440,46 +492,22 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
 
 def looked_up(rows: pa.Table, known: pa.Table, model: Model) -> Iterator[dict]:
     """The rows of a shard with their keys' sums a text in place of the keys."""
-    words, rare = model.words, model.rare
-    lists: dict[int, list] = {CELL: [], RARE: []}
-    for kind, shard, keys, values in zip(*(known.column(c).to_pylist() for c in ("what", "shard", "keys", "values")), strict=True):
-        if kind == CELL:
-            lists[CELL].append((np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float64)))
-        else:
-            counts = np.frombuffer(values, np.int64)
-            seldom = counts < rare["least"]
-            counts, keys = counts[seldom], np.frombuffer(keys, np.uint64)[seldom]
-            lists[RARE].append((keys, counts, rare_tables(counts, shard, rare["types"], rare["discount"])))
-    cells, logs = (np.concatenate(x) for x in zip(*lists[CELL], strict=True)) if lists[CELL] else (np.zeros(0, np.uint64), np.zeros(0))
+    cells, logs, counts = (np.concatenate([np.frombuffer(x, t) for x in known.column(c).to_pylist()] or [np.zeros(0, t)]) for c, t in (("keys", np.uint64), ("scores", np.float64), ("counts", np.uint32)))
     order = np.argsort(cells)
-    cells, logs = cells[order], logs[order]
-    keys, counts, tables = (np.concatenate(x) for x in zip(*lists[RARE], strict=True)) if lists[RARE] else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    room = STRENGTH + rare["customers"]
-    new = (STRENGTH + rare["discount"] * rare["tables"]) / room / (rare["types"] + 1)
-    for row in rows.to_pylist():
+    cells, logs, counts = cells[order], logs[order], counts[order]
+    for row in (rows.slice(i, 1).to_pylist()[0] for i in range(rows.num_rows)):
         if row["kind"] == INFO:
             yield row
             continue
-        wide = row["kind"] == RARE
-        asked = np.frombuffer(row["keys"], np.uint64 if wide else np.uint32)
-        m = len(asked)
+        wanted = np.frombuffer(row["keys"], np.uint64)
+        m = len(wanted)
         spans = np.frombuffer(row["spans"], np.uint16 if len(row["spans"]) == 2 * m else np.uint32).astype(np.int64)
         total = int(spans.sum())
         texts, times = unpacked(row["texts"], total), unpacked(row["times"], total)
-        held = keys if wide else cells
-        spot = np.minimum(np.searchsorted(held, asked.astype(np.uint64)), max(0, len(held) - 1))
-        hit = held[spot] == asked if len(held) else np.zeros(m, bool)
-        if wide:
-            c = np.where(hit, counts[spot], 0) if len(held) else np.zeros(m, np.int64)
-            t = np.where(hit, tables[spot], 0) if len(held) else c
-            logs_of, base = np.log10((c - rare["discount"] * t) / room + new), words.base(c)
-        else:
-            logs_of = np.log10(model.unseen(asked.astype(np.int64)))
-            logs_of[hit] = logs[spot[hit]]
-            base, c = None, None
+        spot = np.searchsorted(cells, wanted)  # the cells of all texts are there
         n = int(texts.max()) + 1
-        spread = lambda x: np.bincount(texts, weights=np.repeat(x, spans) * times, minlength=n)
-        yield row | {"keys": None, "spans": None, "texts": None, "times": None, "score": spread(logs_of).tobytes()} | ({"known": spread(c > 0).astype(np.int32).tobytes(), "base": spread(base).tobytes()} if wide else {})
+        spread = lambda x: np.bincount(texts, weights=np.repeat(x[spot], spans) * times, minlength=n)
+        yield row | {"keys": None, "spans": None, "texts": None, "times": None, "score": spread(logs).tobytes(), "known": spread(counts > 0).astype(np.int32).tobytes(), "base": spread(model.words.base(counts)).tobytes()}
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -496,18 +524,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     # the number of shards follows the characters, about six a token
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = int(max(12, -(-chars // (6 * SHARD_TOKENS))))
-    vocab = vocabulary(docs, shards)
-    words = frequent_words(spark, vocab)
-    model, scores = fit(docs, words, shards, rare_restaurant(vocab, words))
+    model, known = fit(docs, shards)
     sent = spark.sparkContext.broadcast(model)
 
-    known = scores.select(F.lit(CELL).alias("what"), "shard", "keys", F.col("scores").alias("values")).unionByName(vocab.select(F.lit(RARE).alias("what"), "shard", "keys", F.col("counts").alias("values")))
-
     def lookup(key, rows: pa.Table, known: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(list(looked_up(rows, known, sent.value)), schema=POSTINGS)
+        out = pa.Table.from_pylist(list(looked_up(rows, known, sent.value)), schema=POSTINGS)
+        common.give_back()
+        return out
 
     sums = postings(docs, sent, shards).groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lookup, POSTINGS_SQL)
-    total = words.total
+    total = model.words.total
 
     def finish(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()

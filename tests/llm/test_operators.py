@@ -307,6 +307,17 @@ def test_language_model(spark, docs):
     assert alone[0].doc_id is None and alone[0].held_out and alone[0].n_known == 0
 
 
+def test_language_model_knows_contexts_of_rare_words(spark):
+    # a and b are rare, x and y are as frequent: only the context tells which of them follows
+    filler = " ".join(f"f{i % 50}" for i in range(1000))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, f"{filler} {'a x' if k % 2 else 'b y'}" if k < 8 else filler) for k, i in enumerate(ids)]
+    test = [i for i in range(400, 600) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    got = {r.doc_id: r for r in pitman_yor.score_documents(spark.createDataFrame([*rows, (test[0], "a x"), (test[1], "a y")], "doc_id long, text string")).collect()}
+    assert got[test[0]].base_score == pytest.approx(got[test[1]].base_score)
+    assert got[test[0]].score > got[test[1]].score + 1
+
+
 def test_restaurants_sum_to_one():
     rng = np.random.default_rng(8)
     words = 30
