@@ -35,33 +35,66 @@ DROPPED_WORDS = frozenset(
 #: An open element of the key ends when one of these begins.
 ENDS = {"p": frozenset("p div article section main header footer nav aside ul ol dl table form h1 h2 h3 h4 h5 h6 blockquote pre hr address figure fieldset".split()), "li": frozenset(["li"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset(["tr"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "option": frozenset("option optgroup".split())}
 ROOT = "#root"
+#: A named wrapper with at least this share of the page's text outside links is not boilerplate.
+MOST = 0.5
 WORDS = re.compile(r"[a-z]+")
 
 
 class _Open:
     """An open element."""
 
-    __slots__ = ("tag", "path", "container", "dropped", "link")
+    __slots__ = ("tag", "path", "container", "dropped", "link", "named")
 
-    def __init__(self, tag, path, container, dropped, link):
-        self.tag, self.path, self.container, self.dropped, self.link = tag, path, container, dropped, link
+    def __init__(self, tag, path, container, dropped, link, named):
+        self.tag, self.path, self.container, self.dropped, self.link, self.named = tag, path, container, dropped, link, named
+
+
+def solid(text: str) -> int:
+    return len(text) - text.count(" ") - text.count("\n")
 
 
 def pieces(page: str) -> Iterator[tuple[str | None, int, tuple[int, ...], bool]]:
-    """The page's text in order: (text, container number, containers around, in a link); text None ends a block.
+    """walk() without the elements that class or id names boilerplate.
 
-    Containers are announced first as (path, number, containers around, None).
-    Dropped elements yield nothing.
+    Those that hold most of the page's text outside links stay, unless the page
+    has an article or main element and they share no text with it.
     """
-    yield ROOT, 0, (), None
-    stack = [_Open(ROOT, ROOT, (0,), False, False)]
-    n, at, end = 0, 0, len(page)
+    own: dict[int, int] = {}
+    articles: set[int] = set()  # containers
+    with_article: set[int] = set()
+    total, any_article = 0, False
+    for text, number, around, link, named in walk(page, frozenset()):
+        if link is None and (text.rsplit(">", 1)[-1].split(".")[0] in ("article", "main") or not articles.isdisjoint(around)):
+            articles.add(number)
+        elif text is not None and link is False and (n := solid(text)):
+            total += n
+            if number in articles:
+                any_article = True
+                with_article.update(named)
+            for k in named:
+                own[k] = own.get(k, 0) + n
+    kept = frozenset(k for k, n in own.items() if n >= MOST * total and (k in with_article or not any_article))
+    for text, number, around, link, named in walk(page, kept):
+        if not named:
+            yield text, number, around, link
+
+
+def walk(page: str, kept: frozenset[int]) -> Iterator[tuple[str | None, int, tuple[int, ...], bool, tuple[int, ...]]]:
+    """The page's text in order: (text, container number, containers around, in a link, named); text None ends a block.
+
+    Containers are announced first as (path, number, containers around, None, named).
+    Dropped elements yield nothing. named: the elements around, numbered in page
+    order, whose class or id names boilerplate, without those in kept.
+    """
+    yield ROOT, 0, (), None, ()
+    stack = [_Open(ROOT, ROOT, (0,), False, False, ())]
+    n, wrappers, at, end = 0, 0, 0, len(page)
     while at < end:
         m = TAG.search(page, at)
         top = stack[-1]
         upto = m.start() if m else end
         if upto > at and not top.dropped:
-            yield page[at:upto], top.container[-1], top.container, top.link
+            yield page[at:upto], top.container[-1], top.container, top.link, top.named
         if not m:
             return
         at = m.end()
@@ -70,7 +103,7 @@ def pieces(page: str) -> Iterator[tuple[str | None, int, tuple[int, ...], bool]]
         tag = m[2].lower()
         inline = tag in INLINE
         if not inline and not top.dropped:
-            yield None, top.container[-1], top.container, False
+            yield None, top.container[-1], top.container, False, top.named
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -97,6 +130,7 @@ def pieces(page: str) -> Iterator[tuple[str | None, int, tuple[int, ...], bool]]
             continue
         dropped = top.dropped or tag in DROPPED or (tag == "header" and not any(o.tag in ("article", "main") for o in stack))
         names: list[str] = []
+        boilerplate = False
         if m[3] and not dropped and not inline:
             for name, *values in ATTRIBUTE.findall(m[3]):
                 name, value = name.lower(), next((v for v in values if v), "").lower()
@@ -104,15 +138,19 @@ def pieces(page: str) -> Iterator[tuple[str | None, int, tuple[int, ...], bool]]
                     names = value.split()
                 if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in DROPPED_ROLES:
                     dropped = True
-                elif name in ("class", "id") and tag not in ("html", "body", "article", "main") and not DROPPED_WORDS.isdisjoint(WORDS.findall(value)):
-                    dropped = True
+                elif name in ("class", "id") and tag not in ("html", "body", "article", "main") and any((w := WORDS.findall(x)) and DROPPED_WORDS.issuperset(w) for x in value.split()):
+                    boilerplate = True
+        named = top.named
+        if boilerplate and not dropped:
+            wrappers += 1
+            named = named if wrappers in kept else (*named, wrappers)
         path, around = top.path, top.container
         if tag in CONTAINERS and not dropped:
             n += 1
             path = f"{top.path}>{'.'.join([tag, *sorted({re.sub(r'[0-9]+', '#', x) for x in names})])}"
             around = (*around, n)
-            yield path, n, around, None
-        stack.append(_Open(tag, path, around, dropped, top.link or tag == "a"))
+            yield path, n, around, None, named
+        stack.append(_Open(tag, path, around, dropped, top.link or tag == "a", named))
 
 
 def vote(page: str) -> tuple[str, float]:
@@ -127,8 +165,7 @@ def vote(page: str) -> tuple[str, float]:
         if link is None:
             paths[number], score[number] = text, 0.0
         elif text is not None:
-            n = len(text) - text.count(" ") - text.count("\n")
-            n = -n if link else n
+            n = -solid(text) if link else solid(text)
             score[number] += n
             if len(around) > 1:
                 score[around[-2]] += n / 2

@@ -288,6 +288,16 @@ def test_toxicity(spark):
     assert toxicity.keep_clean(docs.limit(0), known).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content has-sidebar"', 'div id="page" class="site no-sidebar"', 'div class="layout with-nav"', 'section class="related-work"', 'div class="widget"'])
+def test_named_wrappers_keep_the_article(wrapper):
+    article = '<header class="entry-header"><h1>Title</h1></header><p>' + "article text " * 30 + "</p>"
+    page = f'<body><div class="ad">buy this</div><{wrapper}>{article}</{wrapper.split()[0]}></body>'
+    text = html_text.extract(page, html_text.vote(page)[0])
+    assert "article text" in text and "buy" not in text
+    page = f"<body><article>{article}</article></body>"
+    assert html_text.extract(page, html_text.vote(page)[0]).startswith("Title article text")
+
+
 def test_language_model(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: r for r in pitman_yor.score_documents(docs).collect()}
