@@ -1,8 +1,8 @@
 """Operator 7: main text of web pages by consensus paths of their hosts.
 
 Each page scores its containers by the text that lies in them outside links.
-The best container's path, tags and classes with digits generalised, is the
-page's vote. Spark sums the votes by host; the winning path is then extracted
+The best container, widened by article text around it, gives the page's vote:
+its path, tags and classes with digits generalised. Spark sums the votes by host; the winning path is then extracted
 from every page of the host. A page without it falls back to its own best.
 """
 
@@ -37,6 +37,8 @@ ENDS = {"p": frozenset("p div article section main header footer nav aside ul ol
 ROOT = "#root"
 #: A named wrapper with at least this share of the page's text outside links is not boilerplate.
 MOST = 0.5
+#: Text around the best container belongs to the article if at most this share of it lies in links.
+LINKED = 0.25
 WORDS = re.compile(r"[a-z]+")
 
 
@@ -154,23 +156,39 @@ def walk(page: str, kept: frozenset[int]) -> Iterator[tuple[str | None, int, tup
 
 
 def vote(page: str) -> tuple[str, float]:
-    """Path and score of the page's best container; the first of equals.
+    """Path of the page's main text, and the score of its best container; the first of equals.
 
     Text counts whole for its container and half for the next one around;
-    text in links counts against both.
+    text in links counts against both. From the best container the path climbs
+    to the outermost one around it that adds text, while what each adds is
+    mostly outside links.
     """
     paths: dict[int, str] = {}
     score: dict[int, float] = {}
+    chains: dict[int, tuple[int, ...]] = {}
+    plain: dict[int, int] = {}
+    linked: dict[int, int] = {}
     for text, number, around, link in pieces(page):
         if link is None:
-            paths[number], score[number] = text, 0.0
+            paths[number], score[number], chains[number] = text, 0.0, around
         elif text is not None:
-            n = -solid(text) if link else solid(text)
+            n = solid(text)
+            side = linked if link else plain
+            for k in around:
+                side[k] = side.get(k, 0) + n
+            n = -n if link else n
             score[number] += n
             if len(around) > 1:
                 score[around[-2]] += n / 2
-    best = max(score, key=lambda k: (score[k], -k))
-    return paths[best], max(score[best], 0.0)
+    best = top = inner = max(score, key=lambda k: (score[k], -k))
+    for k in reversed(chains[best][:-1]):
+        more, links = (side.get(k, 0) - side.get(inner, 0) for side in (plain, linked))
+        if links > LINKED * (more + links):
+            break
+        if more:
+            top = k
+        inner = k
+    return paths[top], max(score[best], 0.0)
 
 
 def extract(page: str, path: str) -> str:

@@ -298,6 +298,14 @@ def test_named_wrappers_keep_the_article(wrapper):
     assert html_text.extract(page, html_text.vote(page)[0]).startswith("Title article text")
 
 
+@pytest.mark.parametrize("form", ["<article><h1>{t}</h1><p>intro</p><section>{x}</section><p>outro</p></article>", "<div class=post><h1>{t}</h1>intro<div class=body><p>{x}</div>outro</div>", "<article><div class=lead>{t} intro</div><div class=part>{x}</div><div class=end>outro</div></article>"])
+def test_text_around_the_best_container(spark, form):
+    links = "<div>" + "<a href=/x>elsewhere on this site</a> " * 40 + "</div>"
+    rows = [(k, "http://h.example/x", "<html><body>" + links + form.format(t=f"Title {k}", x="long " * 60) + links + "</body></html>") for k in range(3)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Title {k} intro {'long ' * 60}outro" for k in range(3)}
+
+
 def test_language_model(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: r for r in pitman_yor.score_documents(docs).collect()}
