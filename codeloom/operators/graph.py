@@ -128,11 +128,43 @@ def closure(edges: DataFrame) -> DataFrame:
         reach = more
 
 
+def trim(edges: DataFrame) -> DataFrame:
+    """The edges between nodes that have edges both in and out, again and again: those of no cycle's reach fall away."""
+    n = edges.count()
+    while n:
+        kept = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, n, edges = n, kept.count(), kept
+        if n == before:
+            break
+    return edges
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """id, component: the strongly connected components of two nodes or more, named by their least node."""
-    reach = closure(edges)
-    both = reach.join(reach.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).where("a <> b")
-    return both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component"))
+    """id, component: the strongly connected components of two nodes or more, named by their least node.
+
+    Each node takes the least node that reaches it as its colour; what reaches
+    that node back within the colour is its component. Components are taken out
+    and the rest is coloured again, so no more than nodes and edges is ever held.
+    """
+    left = trim(cut(edges.select("src", "dst").where("src <> dst").distinct()))
+    found = [left.select(F.col("src").alias("id"), F.col("dst").alias("component")).limit(0)]
+    while not left.isEmpty():
+        colours = cut(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("component", F.col("id")))
+        while True:
+            sent = left.join(colours, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "component")
+            after = cut(colours.unionByName(sent).groupBy("id").agg(F.min("component").alias("component")))
+            changed = not after.join(colours, ["id", "component"], "left_anti").isEmpty()
+            colours = after
+            if not changed:
+                break
+        ends = [colours.withColumnsRenamed({"id": c, "component": f"_{c}"}) for c in ("src", "dst")]
+        within = left.join(ends[0], "src").join(ends[1], "dst").where("_src = _dst").select("src", "dst")
+        members = cut(visit(reverse(within), colours.where("id = component")).select("id").join(colours, "id"))
+        found.append(members.join(members.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1"), "component", "left_semi").select("id", "component"))
+        for c in ("src", "dst"):
+            left = left.join(members.select(F.col("id").alias(c)), c, "left_anti")
+        left = trim(cut(left.select("src", "dst")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def inherited_or(values: DataFrame, edges: DataFrame) -> DataFrame:

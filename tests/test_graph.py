@@ -89,3 +89,13 @@ def test_no_cartesian_products(spark):
     df = spark.createDataFrame(random_edges(1), "src string, dst string, kind string")
     plan = G.traverse(df, roots_of(spark, ["n1"]), 2)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_cycles_of_whole_keys(spark):
+    from codeloom.plans import catalogue
+
+    at = "/root/testdata/sf0.001"
+    edges = {(f"n{r[0]}", f"n{r[1]}", "k") for r in spark.read.parquet(f"{at}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect()}
+    reach = {a: set(plain(edges, [a])) for a in {x for e in edges for x in e[:2]}}
+    want = {a: min([a, *[b for b in reach[a] if a in reach[b]]]) for a in reach if any(b != a and a in reach[b] for b in reach[a])}
+    assert want and {r.id: r.component for r in catalogue.Q["scc_whole"](spark, at).collect()} == want
