@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codeloom.llm import common
 
 #: Distinct pieces that a worker remembers, at most; then it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Pieces encoded in one call at most, when strung together.
 GROUP = 64
 
@@ -98,9 +98,9 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.known: dict[str, int] = {}
         self.at = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int32)
+        self.n = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,13 +126,13 @@ class PieceEncoder:
         begun = np.concatenate(upto) if self.widths is None else np.cumsum(self.widths[ids]) - self.widths[ids]
         return ids, np.diff(np.searchsorted(begun, at))
 
-    def _learn(self, pieces: pa.Array, keys: np.ndarray) -> None:
-        ids, n = self._encode(pieces)
-        at = len(self.ids) + np.concatenate([[0], np.cumsum(n)[:-1]])
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds pieces that aren't known; they are told apart by themselves, not by a hash."""
+        ids, n = self._encode(pa.array(pieces, pa.large_string()))
+        at = len(self.ids) + np.cumsum(n) - n
         self.ids = np.concatenate([self.ids, ids])
-        keys, at, n = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.n, n.astype(np.int32)])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.n = keys[order], at[order], n[order]
+        self.known.update(zip(pieces, range(len(self.n), len(self.n) + len(pieces)), strict=True))
+        self.at, self.n = np.concatenate([self.at, at]), np.concatenate([self.n, n])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts in a row, and each text's offsets into them (null: empty)."""
@@ -143,16 +143,14 @@ class PieceEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
         coded = pieces.dictionary_encode()
-        distinct, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        keys = common.hash_strings(distinct)
-        if len(self.keys) + len(keys) > REMEMBERED:
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        if len(self.known) + len(distinct) > REMEMBERED:
             self.clear()
-        spot = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = self.keys[spot] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            self._learn(distinct.filter(pa.array(new)), keys[new])
-            spot = np.searchsorted(self.keys, keys)
-        at, n = self.at[spot][index], self.n[spot][index].astype(np.int64)
+        new = [piece for piece in distinct if piece not in self.known]
+        if new:
+            self._learn(new)
+        spot = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        at, n = self.at[spot][index], self.n[spot][index]
         ends = np.cumsum(n)
         ids = self.ids[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]))]
         first = np.searchsorted(cuts, starts)

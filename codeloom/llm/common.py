@@ -107,8 +107,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-RADIX = np.uint64(0xD6E8FEB86659FD93)
+#: Keys of a string's first eight-byte words; longer strings' keys are made when they are met.
+WORD_KEYS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def string_bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,22 +125,33 @@ def string_bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def hash_strings(a: pa.Array) -> np.ndarray:
     """64-bit hashes of the strings: the same in every process and on every machine.
 
-    A random code a byte, times a power of an odd number by its place, summed
-    modulo 2**64, then mixed with the length.
+    Each eight bytes are scrambled under a key of their place and the results
+    are summed and scrambled again with the length: tabulation with a bijection
+    in place of tables, so strings of at most eight bytes and one length never
+    collide, and others only by chance, whatever pattern their letters follow
+    (a power series modulo 2**64 would confuse Thue-Morse words).
     """
     raw, at = string_bytes(a)
     n = len(at) - 1
     if not n:
         return np.zeros(0, np.uint64)
     lengths = np.diff(at)
+    words = (lengths + 7) // 8
+    ends = np.cumsum(words)
     out = np.zeros(n, np.uint64)
-    if len(raw):
+    if ends[-1]:
+        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+        every = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+        place = np.arange(ends[-1]) - np.repeat(ends - words, words)
+        value = every[np.repeat(at[:-1], words) + 8 * place]
+        full = words > 0
+        last = ends[full] - 1
+        spare = (8 * words[full] - lengths[full]).astype(np.uint64) * np.uint64(8)
+        value[last] &= np.uint64(0xFFFFFFFFFFFFFFFF) >> spare
+        longest = int(words.max())
+        keys = WORD_KEYS if longest <= len(WORD_KEYS) else mix64(np.arange(1, longest + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         with np.errstate(over="ignore"):
-            powers = np.cumprod(np.full(int(lengths.max()), RADIX, np.uint64))
-            place = np.arange(len(raw), dtype=np.int64) - np.repeat(at[:-1], lengths)
-            terms = BYTE_CODES[raw] * powers[place]
-            full = lengths > 0
-            out[full] = np.add.reduceat(terms, at[:-1][full])
+            out[full] = np.add.reduceat(mix64(mix64(value ^ keys[place]) + keys[place]), (ends - words)[full])
     with np.errstate(over="ignore"):
         return mix64(out + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
