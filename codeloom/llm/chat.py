@@ -16,7 +16,7 @@ from codeloom.llm import common
 ROLE, TEXT, NEXT, END = "<|role|>", "<|text|>", "<|next|>", "<|end|>"
 #: "<" is written so inside texts and roles. It begins no marker.
 LESS = "<<>"
-#: Turns of one conversation that are put together in one step; longer ones are put together from such runs.
+#: Turn numbers, a power of two, whose turns are put together in one step; conversations are put together from such runs.
 RUN = 512
 
 
@@ -31,7 +31,7 @@ def unescaped(text: Column) -> Column:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted of turns(conv_id, turn, role, text).
 
-    Turns sort by turn (null first), then role and text, so ties and repeated
+    Turns sort by turn (null first, then the least, negative ones included), then role and text, so ties and repeated
     rows have one order; repeated rows stay. Null roles and texts are empty;
     a null conv_id is a conversation of its own. Further columns are left out,
     an empty table gives none. Runs of turns are put together first and then
@@ -41,7 +41,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     rows = turns.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
         F.struct(F.col("turn").cast("bigint").alias("turn"), escaped(F.coalesce(F.col("role"), F.lit(""))).alias("role"), escaped(F.coalesce(F.col("text"), F.lit(""))).alias("text")).alias("t"),
-        F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / RUN).alias("_run"),
+        F.shiftright(F.col("turn").cast("bigint"), RUN.bit_length() - 1).alias("_run"),
     )
     runs = rows.groupBy("conv_id", "_run").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     # blocks of the run: a turn with another role than the one before it begins one
