@@ -22,10 +22,10 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def drawn(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with _size, and _draw and _slot: a document's seeded place among its source's."""
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    return docs.withColumns({"_size": word_count(), "_draw": draw}).withColumn("_slot", F.shiftright("_draw", 52).cast("int"))
+def drawn(docs: DataFrame, seed: int, *keep) -> DataFrame:
+    """doc_id, source, _size, and _draw and _slot, a document's seeded place among its source's; and the columns to keep."""
+    rows = docs.select("doc_id", "source", word_count().alias("_size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_draw"), *keep)
+    return rows.withColumn("_slot", F.shiftright("_draw", 52).cast("int"))
 
 
 def targets(sizes: DataFrame, weights: list[float], share: float, epochs: float) -> DataFrame:
@@ -92,18 +92,24 @@ def mix_sizes(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, epochs: fl
     by their text, and equal rows stand side by side in the draw. Further
     columns are left out.
     """
-    sized = drawn(common.only(docs, "doc_id", "source", "text"), seed).drop("text")
+    sized = drawn(docs, seed)
     sized = common.stored(sized, "mix-documents")
     out = repeats(sized, list(weights), share, epochs)
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).cast("bigint").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, epochs: float = 2, seed: int = 9) -> DataFrame:
-    """The mix itself: docs' rows with all their columns, each as often as it is taken."""
-    rows = drawn(docs, seed)
+    """The mix itself: docs' rows with all their columns, whatever their names, each as often as it is taken.
+
+    Nulls, repeated rows and ties are as in mix_sizes(); a document without
+    words is never in a fractional draw, and stays as often as its source is
+    taken whole. An empty table stays empty.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = drawn(docs, seed, whole)
     sized = common.stored(rows.select("source", "_size", "_slot"), "mix-documents")
-    out = repeats(rows, list(weights), share, epochs, sized)
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_times"), F.lit(1)).cast("int")))).where("_times > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = repeats(rows, list(weights), share, epochs, sized).where("_times > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
