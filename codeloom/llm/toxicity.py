@@ -3,7 +3,9 @@
 P(grade <= k) = logistic(cut_k - w.x): one weight vector for all ordered
 cuts. x holds 1 for each hashed word a text contains. The labels say toxic or
 not; toxic texts are graded 1 to 3 by how often words that tell toxic texts
-apart occur in them. The result is the expected grade.
+apart occur in them, so the grades above 1 say how much of what the labels
+call toxic a text holds, not how bad a person would find it. The result is the
+expected grade.
 """
 
 from __future__ import annotations
@@ -100,16 +102,15 @@ class Model:
         return self.at_least(score).sum(axis=1) if len(self.cuts) else np.zeros(len(score))
 
 
-def telling(toxic: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Which features are in enough toxic texts, and much more often than in clean ones."""
-    bad, good = (np.bincount(column[(toxic == k)[row]], minlength=FEATURES) for k in (1, 0))
-    share = np.log((bad + 0.5) / (np.sum(toxic == 1) + 1)) - np.log((good + 0.5) / (np.sum(toxic == 0) + 1))
-    return (bad >= max(LEAST_TEXTS, LEAST_SHARE * np.sum(toxic == 1))) & (share > LEAST_LOG_ODDS)
+def telling(bad, good, toxic: int, clean: int):
+    """Whether features in so many toxic and clean texts of the sample are in enough toxic ones, and much more often than in clean ones."""
+    share = np.log((bad + 0.5) / (toxic + 1)) - np.log((good + 0.5) / (clean + 1))
+    return (bad >= max(LEAST_TEXTS, LEAST_SHARE * toxic)) & (share > LEAST_LOG_ODDS)
 
 
-def grades(toxic: np.ndarray, row: np.ndarray, n: np.ndarray, tells: np.ndarray) -> np.ndarray:
+def grades(toxic: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
     """0 for clean texts; for toxic ones 1 to GRADES by terciles of how often telling features occur."""
-    hits = np.bincount(row, weights=tells * n, minlength=len(toxic))
+    hits = np.bincount(row, weights=n, minlength=len(toxic))
     out = np.zeros(len(toxic), np.int64)
     if (toxic == 1).any():
         levels = np.quantile(hits[toxic == 1], np.arange(1, GRADES) / GRADES)
@@ -172,49 +173,61 @@ def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, steps: int = 600
     return Model(columns[used], w[used], cuts)
 
 
-def learn(toxic: np.ndarray, row: np.ndarray, column: np.ndarray, n: np.ndarray) -> Model:
-    """The model of a sample: (row, column, n) as from features(), toxic 0 or 1 a row."""
-    if not len(toxic):
-        return fit(row, column, toxic)
-    tells = telling(toxic, row, column)[column]
-    return fit(row[tells], column[tells], grades(toxic, row, n, tells))
-
-
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = 4) -> DataFrame:
-    """doc_id, text, toxic of at most `most` labelled texts of each label; the ids are the bound for the join."""
+    """text, toxic of at most `most` labelled texts of each label: copies are one, and so are rows of one doc_id (the text of the least hash)."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
     chosen = [known.where(F.col("_toxic") > 0 if bad else F.col("_toxic") <= 0).withColumn("_draw", draw).orderBy("_draw", "doc_id").limit(most) for bad in (True, False)]
     ids = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("_id"), (F.col("_toxic") > 0).cast("int").alias("_toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    one = rows.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_toxic").alias("_toxic"))
+    return one.groupBy("text").agg(F.max("_toxic").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """The model of a bounded sample of labelled rows, copies once; its features are made where the texts are."""
+    """The model of a bounded sample of labelled rows.
+
+    Features are made and counted where the texts are; the driver gets the
+    telling ones alone, each in a hundredth of the toxic texts or more.
+    """
+    rows = common.stored(sample(docs, labels, most), "toxicity-sample")
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch):
+                row, column, _ = features(part.column(0))
+                bad = part.column(1).to_numpy()[row]
+                found, place = np.unique(column, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(place, bad, len(found)).astype(np.int64)), pa.array(np.bincount(place, 1 - bad, len(found)).astype(np.int64))], names=["column", "bad", "good"])
+
+    counted = rows.mapInArrow(count, "column bigint, bad bigint, good bigint").groupBy("column").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = counted.where(F.col("bad") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)).toArrow()
+    tells = np.sort(counted.column("column").to_numpy()[telling(counted.column("bad").to_numpy(), counted.column("good").to_numpy(), toxic, clean)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
-                row, column, n = features(part.column(1))
+                row, column, n = features(part.column(0))
+                keep = np.isin(column, tells)
+                row, column, n = row[keep], column[keep], n[keep]
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
                 spans = list(zip(ends[:-1], ends[1:], strict=True))
-                columns = [part.column(0), part.column(2), *[pa.array([x[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary()) for x in (column, n)]]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "columns", "n"])
+                columns = [part.column(1), *[pa.array([x[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary()) for x in (column, n)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["toxic", "columns", "n"])
 
-    rows = sample(docs, labels, most).mapInArrow(run, "doc_id bigint, toxic int, columns binary, n binary").toArrow().sort_by("doc_id")
-    seen: set[bytes] = set()
-    kept = [(t, c, k) for t, c, k in zip(*(rows.column(x).to_pylist() for x in ("toxic", "columns", "n")), strict=True) if not (c in seen or seen.add(c))]
-    lists = [[np.frombuffer(x[i], np.int32) for x in kept] for i in (1, 2)]
+    kept = rows.mapInArrow(run, "toxic int, columns binary, n binary").toArrow().sort_by([("toxic", "ascending"), ("columns", "ascending"), ("n", "ascending")])
+    common.forget(rows)
+    lists = [[np.frombuffer(x, np.int32) for x in kept.column(c).to_pylist()] for c in ("columns", "n")]
     row = np.repeat(np.arange(len(kept)), [len(x) for x in lists[0]])
     column, n = (np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int64) for x in lists)
-    return learn(np.array([x[0] for x in kept], np.int64), row, column, n)
+    bad = kept.column("toxic").to_numpy().astype(np.int64)
+    return fit(row, column, grades(bad, row, n))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with severity (expected grade, 0 to 3), p_toxic (of grade 1 or more) and toxic.
-
-    Whole texts are scored; null and empty ones hold no features. Rows are
-    independent of each other, and all columns of docs stay.
-    """
+def _marked(docs: DataFrame, model: Model) -> DataFrame:
+    """row (all columns of docs, whatever their names) and marks (severity, p_toxic)."""
     common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -227,13 +240,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         over = model.at_least(s)
         return pd.DataFrame({"severity": model.expected(s), "p_toxic": over[:, 0] if over.shape[1] else np.zeros(len(s))})
 
-    marked = docs.withColumn("_marks", severity(F.col("text").cast("string")))
-    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_marks.severity").alias("_severity"), F.col("_marks.p_toxic").alias("_p_toxic"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), severity(F.col("text").cast("string")).alias("marks"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with _severity (expected grade, 0 to 3) and _p_toxic (of grade 1 or more).
+
+    Whole texts are scored; null and empty ones hold no features and get the
+    score of none. Rows are independent of each other, repeated ones too, and
+    an empty table stays empty. All columns of docs stay, but for those that
+    have the names of the two results.
+    """
+    rest = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("_severity", "_p_toxic")]
+    return _marked(docs, model).select(*rest, F.col("marks.severity").alias("_severity"), F.col("marks.p_toxic").alias("_p_toxic"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """docs without those whose expected grade is toxic; columns as they were."""
-    return score(docs, train(docs, labels, most)).where(F.col("_severity") < TOXIC_FROM).drop("_severity", "_p_toxic")
+    """docs without those whose expected grade is toxic; columns as they were, whatever their names."""
+    return _marked(docs, train(docs, labels, most)).where(F.col("marks.severity") < TOXIC_FROM).select("row.*")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
