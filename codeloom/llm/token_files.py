@@ -24,6 +24,8 @@ from codeloom.llm import bpe, common
 SEQUENCE = 2048
 #: Sequences in a batch: the unit of random access.
 BATCH = 128
+#: Bytes of text in a part, about; smaller corpora have a part for each core, of a sixteenth or more.
+PART_BYTES = 16 << 20
 DOCS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "part int, path string, docs_path string, n_docs bigint, n_tokens bigint"
 
@@ -75,10 +77,13 @@ def write(docs: DataFrame, spec: str, folder: str, end_id: int, sequence: int =
     Null texts are empty: their only id is end_id. Rows sort by doc_id, null
     first, then by a hash of the text, so repeated ids have a fixed order and
     no single id fills a part. An empty table makes no files. The manifest has
-    as many rows as there are parts.
+    as many rows as there are parts, whose number follows the bytes of the
+    texts and the rows.
     """
     spark: SparkSession = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64))).first()[0] or 0
+        parts = max(1, -(-size // PART_BYTES), min(spark.sparkContext.defaultParallelism, -(-size // (PART_BYTES // 16))))
     sent = spark.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +128,22 @@ def open_stream(path: str) -> pa.RecordBatchReader:
     return pa.ipc.open_stream(pa.memory_map(at) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(at))
 
 
-def sequence_at(path: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and mask of a part's i-th sequence."""
-    batch = next(b for k, b in enumerate(open_stream(path)) if k == i // BATCH)
+def sequence_at(path: str, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Tokens and mask of a part's i-th sequence, views of the file where it is a local one.
+
+    All batches but the last have the same length in bytes, so the place of
+    any batch follows from the first one's; nothing else is read.
+    """
+    fs, at = pafs.FileSystem.from_uri(path)
+    with pa.memory_map(at) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(at) as file:
+        schema = pa.ipc.read_schema(pa.ipc.read_message(file))
+        begun = file.tell()
+        batch = pa.ipc.read_record_batch(pa.ipc.read_message(file), schema)
+        if i >= BATCH:
+            file.seek(begun + i // BATCH * (file.tell() - begun))
+            batch = pa.ipc.read_record_batch(pa.ipc.read_message(file), schema)
     row = i % BATCH
-    return batch.column(0)[row].values.to_numpy(), batch.column(1)[row].values.to_numpy(zero_copy_only=False)
+    return batch.column(0)[row].values.to_numpy(), batch.column(1)[row].values
 
 
 def documents_in(path: str, docs_path: str) -> Iterator[tuple[int | None, int, int, int]]:
