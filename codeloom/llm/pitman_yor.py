@@ -3,10 +3,12 @@
 Dishes are all training words, the end of a text, and one outcome for words
 that training texts don't have. A context restaurant for each preceding word
 has the root restaurant as its parent, whose base is uniform. Seating is
-sampled: each sweep reseats the customers of every dish in turn, given all
-other tables, in all restaurants of a shard at once. Between rounds the root is
-reseated by the tables that all shards opened. Predictive probabilities are
-averaged over the last rounds.
+sampled by Gibbs: all customers of a dish leave their restaurant and sit down
+again at once, the number of their tables drawn from its exact conditional
+given everybody else's tables. A round is one sweep over the shards' contexts
+and one over the root, reseated by the tables that all shards opened; the
+chain goes on from round to round. Predictive probabilities are averaged over
+the last rounds.
 
 Nothing that grows with the corpus is gathered in one place. Context
 restaurants are sharded by context and the root by word: a round sends each
@@ -32,7 +34,11 @@ from codeloom.llm import common
 HOT_CELLS = 4096
 #: Tokens a shard should hold, about.
 SHARD_TOKENS = 6_000_000
-SWEEPS, ROUNDS, BURN_IN = 3, 3, 1
+ROUNDS, BURN_IN = 5, 2
+#: A restaurant's dishes sit down again in so many turns, one dish a turn in restaurants of as many dishes or fewer.
+TURNS = 8
+#: Dishes with more customers than this are seated customer by customer instead of from the exact conditional.
+EXACT = 256
 STRENGTH = 1.0
 SEED = 8
 END = common.hash_strings(pa.array(["\n"], pa.large_string()))[0]
@@ -42,24 +48,68 @@ POSTINGS_SQL = "shard int, slice bigint, kind int, keys binary, spans binary, te
 INFO, CELL = 0, 1
 
 
-def seat(rng: np.random.Generator, customers: np.ndarray, opens: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of each dish after its customers were seated in turn.
+def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers [c, t]: the weight of c customers at t tables."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(most):
+        out[c + 1, 1 : c + 2] = out[c, : c + 1]
+        t = np.arange(1, c + 1)
+        out[c + 1, 1 : c + 1] = np.logaddexp(out[c, :c], out[c, 1 : c + 1] + np.log(c - discount * t))
+    return out
 
-    opens: (strength + discount * other tables) * the parent's probability.
-    The j-th customer opens a table with the odds opens : j - 1 - discount *
-    tables. From the 32nd on customers come in groups of an eighth of those seated.
-    """
-    tables = np.minimum(customers, 1).astype(np.int64)
-    at = np.flatnonzero(customers > 1)
-    j = 1
-    while len(at):
-        group = 1 if j < 32 else j // 8
-        t, room = tables[at], np.minimum(customers[at] - j, group)
-        p = opens[at] / (opens[at] + np.maximum(j - discount * t, 1e-9))
-        tables[at] += (rng.random(len(at)) < p) if group == 1 else np.minimum(rng.binomial(room, np.minimum(p, 1.0)), room)
-        j += group
-        at = at[customers[at] > j]
-    return tables
+
+class Seating:
+    """Dishes with their customers, in the order that they are reseated in."""
+
+    def __init__(self, customers: np.ndarray, turn: np.ndarray, discount: float, weights: np.ndarray):
+        """turn: when each dish is reseated; weights: log_stirling(discount)."""
+        self.customers, self.discount, self.weights = customers, discount, weights
+        some = np.flatnonzero(customers > 1)
+        size = np.minimum(customers[some], EXACT + 1)
+        order = np.lexsort((size, turn[some]))
+        self.at, size, turn = some[order], size[order], turn[some][order]
+        first = heads(turn, size)
+        #: (turn, customers, begin, end) of the dishes that are alike
+        self.groups = list(zip(turn[first].tolist(), size[first].tolist(), first.tolist(), [*first[1:].tolist(), len(size)][: len(first)], strict=True))
+
+    def first(self) -> np.ndarray:
+        return np.minimum(self.customers, 1).astype(np.int64)
+
+    def sweep(self, rng: np.random.Generator, tables: np.ndarray, others, parent: np.ndarray) -> None:
+        """Reseats all dishes in place. others(rows): tables of all the other dishes in the rows' restaurants as they now are; parent: the dishes' odds in the parent."""
+        now, of = -1, np.zeros(0)
+        for turn, c, begin, end in self.groups:
+            rows = self.at[begin:end]
+            if turn != now:
+                now, upto = turn, next((g[2] for g in self.groups if g[0] > turn and g[2] >= end), len(self.at))
+                start, of = begin, others(self.at[begin:upto])
+            beside = of[begin - start : end - start]
+            if c > EXACT:
+                tables[rows] = self.one_by_one(rng, self.customers[rows], beside, parent[rows])
+                continue
+            # t tables weigh S[c, t] * product over i < t of (strength + discount * (others + i)) * parent
+            for k in range(0, len(rows), max(1, 2_000_000 // c)):
+                part = slice(k, k + max(1, 2_000_000 // c))
+                steps = STRENGTH + self.discount * (beside[part, None] + np.arange(c))
+                steps *= parent[rows[part], None]
+                log = np.cumsum(np.log(steps), axis=1) + self.weights[c, 1 : c + 1]
+                upto_ = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
+                tables[rows[part]] = 1 + (upto_ < rng.random(len(log))[:, None] * upto_[:, -1:]).sum(axis=1)
+
+    def one_by_one(self, rng: np.random.Generator, customers: np.ndarray, others: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Tables after the customers sat down in turn, each seeing the tables opened before; beyond EXACT customers in groups of an eighth of those seated."""
+        tables = np.ones(len(customers), np.int64)
+        at, j = np.arange(len(customers)), 1
+        while len(at):
+            group = 1 if j <= EXACT else j // 8
+            t, room = tables[at], np.minimum(customers[at] - j, group)
+            opens = (STRENGTH + self.discount * (others[at] + t)) * parent[at]
+            p = opens / (opens + np.maximum(j - self.discount * t, 1e-9))
+            tables[at] += (rng.random(len(at)) < p) if group == 1 else rng.binomial(room, p)
+            j += group
+            at = at[customers[at] > j]
+        return tables
 
 
 class Words:
@@ -243,18 +293,22 @@ class Restaurants:
         self.counts, self.discount, self.shard = counts.astype(np.int64), discount, shard
         self.dish = keys & ((1 << bits) - 1)
         self.first = heads(keys >> bits)
-        self.of = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(keys))))
+        spans = np.diff(np.append(self.first, len(keys)))
+        self.of = np.repeat(np.arange(len(self.first)), spans)
         self.customers = np.add.reduceat(self.counts, self.first) if len(keys) else np.zeros(0, np.int64)
+        turn = (np.arange(len(keys)) - np.repeat(self.first, spans)) % TURNS
+        self.seating = Seating(self.counts, turn, discount, log_stirling(discount))
 
-    def sample(self, root: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tables of the cells and of the restaurants after the round's sweeps; the same whenever it is asked."""
-        rng = np.random.default_rng([SEED, self.shard, round_])
-        tables = np.minimum(self.counts, 1)
-        parent = root[self.dish]
-        for _ in range(SWEEPS):
-            others = np.bincount(self.of, weights=tables, minlength=len(self.first))[self.of] - tables
-            tables = seat(rng, self.counts, (STRENGTH + self.discount * (others + 1)) * parent, self.discount)
-        return tables, np.bincount(self.of, weights=tables, minlength=len(self.first))
+    def opened(self, tables: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, weights=tables, minlength=len(self.first))
+
+    def chain(self, roots: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Tables of the cells and of the restaurants after each round's sweep, given the root before it; the same whenever it is asked."""
+        tables = self.seating.first()
+        for k, root in enumerate(roots):
+            rng = np.random.default_rng([SEED, self.shard, k])
+            self.seating.sweep(rng, tables, lambda rows: self.opened(tables)[self.of[rows]] - tables[rows], root[self.dish])
+            yield tables.copy(), self.opened(tables)
 
     def predict(self, root: np.ndarray, tables: np.ndarray, opened: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cells' probabilities, and each restaurant's weight of its parent. after: the root that the tables led to."""
@@ -266,9 +320,9 @@ class Restaurants:
 def root_tables(tables: np.ndarray, discount: float, round_: int, n: int, shard: int = 0, elsewhere: float = 0.0) -> np.ndarray:
     """Tables of a shard's dishes in the root: its customers are the tables below. elsewhere: the root's tables in other shards."""
     rng = np.random.default_rng([SEED, 1 << 20, round_, shard])
-    own = np.minimum(tables, 1)
-    for _ in range(SWEEPS):
-        own = seat(rng, tables, (STRENGTH + discount * (elsewhere + own.sum() - own + 1)) / n * np.ones(len(tables)), discount)
+    seating = Seating(tables, np.arange(len(tables)) % TURNS, discount, log_stirling(discount))
+    own = seating.first()
+    seating.sweep(rng, own, lambda rows: elsewhere + own.sum() - own[rows], np.full(len(tables), 1 / n))
     return own
 
 
@@ -300,6 +354,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
+def heard(answers: list[DataFrame]) -> DataFrame:
+    """What the root told the shards in all rounds."""
+    out = answers[0].where("shard >= 0")
+    for a in answers[1:]:
+        out = out.unionByName(a.where("shard >= 0"))
+    return out
+
+
 class Model:
     """What every task needs, the same size whatever the corpus: sums of each round's root, and at most HOT_CELLS scores."""
 
@@ -360,7 +422,8 @@ def fit(docs: DataFrame, shards: int) -> tuple[Model, DataFrame]:
             for row in rows.to_pylist():
                 r, words = restaurants_of(row, discount), np.frombuffer(row["words"], np.uint64)
                 roots, _ = sent.value[0].roots(words, answers.to_pylist(), shards)
-                seated, _ = r.sample(roots[k - 1], k)
+                for seated, _ in r.chain([roots[i - 1] for i in range(k + 1)]):
+                    pass
                 out += asked(row["shard"], words, np.bincount(r.dish, weights=seated, minlength=len(words)), shards, False)
             return pa.Table.from_pylist(out, ASKED)
 
@@ -375,7 +438,7 @@ def fit(docs: DataFrame, shards: int) -> tuple[Model, DataFrame]:
                 out += replies(row["shard"], k, total, own, row["askers"], row["spots"])
             return pa.Table.from_pylist(out, REPLY)
 
-        messages = cells.groupBy("shard").cogroup(answers[-1].where("shard >= 0").groupBy("shard")).applyInArrow(tables, ASKED_SQL)
+        messages = cells.groupBy("shard").cogroup(heard(answers).groupBy("shard")).applyInArrow(tables, ASKED_SQL)
         answers.append(common.stored(root.groupBy("shard").cogroup(messages.groupBy("shard")).applyInArrow(reseat, REPLY_SQL), "lm-root"))
         sums = {r["by"]: r["sums"] for r in answers[-1].where("shard < 0").select("by", "sums").collect()}
         model.sums[k] = tuple(sum(s[i] for s in sums.values()) for i in range(2))
@@ -391,8 +454,9 @@ def fit(docs: DataFrame, shards: int) -> tuple[Model, DataFrame]:
             r, words = restaurants_of(row, discount), np.frombuffer(row["words"], np.uint64)
             roots, counts = everything.value.roots(words, answers.to_pylist(), shards)
             mean = np.zeros(len(r.counts))
-            for k in range(BURN_IN, ROUNDS):
-                mean += r.predict(roots[k - 1], *r.sample(roots[k - 1], k), roots[k])[0] / (ROUNDS - BURN_IN)
+            for k, seated in enumerate(r.chain([roots[i - 1] for i in range(ROUNDS)])):
+                if k >= BURN_IN:
+                    mean += r.predict(roots[k - 1], *seated, roots[k])[0] / (ROUNDS - BURN_IN)
             del roots
             mean, counts = np.log10(mean), counts[r.dish].astype(np.uint32)
             keys = cell_keys(np.repeat(np.frombuffer(row["contexts"], np.uint64), np.frombuffer(row["spans"], np.uint32)), words[r.dish])
@@ -410,10 +474,7 @@ def fit(docs: DataFrame, shards: int) -> tuple[Model, DataFrame]:
         common.give_back()
         return made
 
-    heard = answers[0].where("shard >= 0")
-    for a in answers[1:]:
-        heard = heard.unionByName(a.where("shard >= 0"))
-    scores = common.stored(cells.groupBy("shard").cogroup(heard.groupBy("shard")).applyInArrow(score, "shard int, keys binary, scores binary, counts binary"), "lm-scores")
+    scores = common.stored(cells.groupBy("shard").cogroup(heard(answers).groupBy("shard")).applyInArrow(score, "shard int, keys binary, scores binary, counts binary"), "lm-scores")
     rows = scores.where("shard < 0").collect()
     if rows:
         keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
@@ -421,7 +482,7 @@ def fit(docs: DataFrame, shards: int) -> tuple[Model, DataFrame]:
         model.hot_cells, model.hot_scores, model.hot_counts = (np.concatenate([np.frombuffer(r[c], t) for r in rows])[order] for c, t in (("keys", np.uint64), ("scores", np.float64), ("counts", np.uint32)))
     for made in (cells, root, *answers):
         common.forget(made)
-    del cells, root, answers, heard
+    del cells, root, answers
     free_shuffles(spark)
     return model, scores.where("shard >= 0")
 
