@@ -322,7 +322,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
         return np.where(bits > 0, (1 + (bits - 1) // 32768) * 32768 + (bits - 1) % 32768, 0)
 
     with_bit = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), bit("doc_id").alias("bit"))
-    sets = common.stored(with_bit.mapInArrow(run, "id bigint, shingles binary").dropDuplicates(["id"]), "candidate-sets")
+    sets = common.stored(with_bit.mapInArrow(run, "id bigint, shingles binary").dropDuplicates(["id", "shingles"]), "candidate-sets")
     left = pairs.join(sets.select(F.col("id").alias("_a"), F.col("shingles").alias("sa")), F.col("a") == F.col("_a")).drop("_a")
     both = left.join(sets.select(F.col("id").alias("_b"), F.col("shingles").alias("sb")), F.col("b") == F.col("_b")).select("a", "b", "sa", "sb")
 
@@ -337,7 +337,26 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
                 similar.append(100 * same >= percent * (len(s) + len(t) - same))
             yield batch.select([0, 1]).filter(pa.array(similar, pa.bool_()))
 
-    return both.mapInArrow(check, "a bigint, b bigint")
+    return both.mapInArrow(check, "a bigint, b bigint").distinct()
+
+
+def with_row_ids(docs: DataFrame) -> DataFrame:
+    """row (all columns), id and text, each row with an id of its own: its doc_id, where no other row has that.
+
+    Rows without a doc_id and those that share one with other rows get ids
+    above all doc_ids.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("text"))
+    shared = rows.select("id").groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias("_shared"))
+    shared = common.stored(shared, "shared-ids")
+    if shared.isEmpty():
+        return rows
+    top = rows.agg(F.max("id")).first()[0] or 0
+    odd = rows.join(shared, F.col("id").eqNullSafe(F.col("_shared")), "left_semi")
+    odd = common.stored(odd.withColumn("_id", F.monotonically_increasing_id() + F.lit(max(top, 0) + 1)), "odd-rows")
+    even = rows.where("id is not null").join(shared, F.col("id") == F.col("_shared"), "left_anti")
+    return even.unionByName(odd.select("row", F.col("_id").alias("id"), "text"))
 
 
 def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -347,8 +366,9 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     class, compared once by its least doc_id; the others follow it, so copies
     are never paired with each other. Documents without words, and those
     without a doc_id, link with nothing. Rows that repeat a doc_id are one
-    document if their sets are equal. An empty table gives no rows; further
-    columns are left out.
+    document, which links with what any of its texts links with through the
+    texts that are the least of their class; keep_one() tells rows apart. An
+    empty table gives no rows; further columns are left out.
     """
     common.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -365,10 +385,16 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the least doc_id of each group; rows that repeat a kept doc_id stay, and so do those without one."""
-    groups = similar_documents(docs, n, percent)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs with one row of each group of similar ones, all columns as they were.
+
+    The least doc_id stays. Rows without a doc_id, or with one that other rows
+    have too, are documents like any other and give way to those with a doc_id
+    of their own. Rows without words all stay.
+    """
+    rows = with_row_ids(docs)
+    groups = similar_documents(rows.select(F.col("id").alias("doc_id"), "text"), n, percent)
+    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
+    return rows.join(gone, F.col("id") == F.col("_gone"), "left_anti").select("row.*")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
