@@ -85,7 +85,14 @@ def test_token_files(spark, docs):
         assert (found.start, found.n_tokens, found.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     tokens, mask = token_files.sequence_at(manifest[0].path, 0)
-    assert len(tokens) == len(mask) == 64 and mask.all()
+    assert len(tokens) == len(mask) == 64 and all(mask.to_pylist())
+    for m in manifest:
+        whole = token_files.open_stream(m.path).read_all()
+        every, masks = whole.column(0).to_pylist(), whole.column(1).to_pylist()
+        for i in {0, 1, token_files.BATCH, len(every) - 1} & set(range(len(every))):
+            tokens, mask = token_files.sequence_at(m.path, i)
+            assert tokens.tolist() == every[i] and mask.to_pylist() == masks[i]
+    assert any(m.n_tokens > 64 * token_files.BATCH for m in manifest)
     assert token_files.read(spark, token_files.write(docs.limit(0), spec, common.new_path(spark, "test-tokens"), end_id=2, parts=2)).count() == 0
 
 
@@ -169,7 +176,57 @@ def test_jaccard_edges(spark):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similar_documents(rows).collect())
     assert got == [("5", 1, "5"), ("5", 1, "5"), ("7", 1, "5"), ("8", 0, "8"), ("None", 1, "None")]
     kept = jaccard.keep_one(rows.where("doc_id > 5 or doc_id is null").unionByName(spark.createDataFrame([(1, "a b c")], rows.schema)))
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "8", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "8"]
+    odd = spark.createDataFrame([(1, "a b c", 0), (1, "x y z", 1), (1, "x y z", 2), (None, "p q r", 3), (None, "p q r", 4), (2, "a b c", 5), (None, None, 6), (3, "", 7)], "doc_id long, text string, row int")
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(odd).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(2, "a b c"), (1, "x y z"), (None, "p q r"), (None, None), (3, "")]))
+
+
+def thue_morse(n: int = 10) -> list[str]:
+    """Two words of 2**n letters that power series modulo 2**64 can't tell apart."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
+def test_words_that_power_series_confuse(spark):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    words = thue_morse()
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:2]
+    table = spark.createDataFrame(list(zip(train, words, strict=True)), "doc_id long, text string").coalesce(1)
+    assert len(set(common.hash_strings(pa.array(words)).tolist())) == 2
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in bpe.encode_decode(table, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True).collect()}
+    assert all(got[i].ids == plain.encode_ordinary(w) and got[i].decoded_sha256 == hashlib.sha256(w.encode()).hexdigest() for i, w in zip(train, words, strict=True))
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    files = token_files.read(spark, token_files.write(table, spec, common.new_path(spark, "test-tokens"), end_id=2, parts=1)).collect()
+    ids = {i: Tokenizer.from_str(spec).encode(w, add_special_tokens=False).ids + [2] for i, w in zip(train, words, strict=True)}
+    assert {r.doc_id: r.ids_crc32 for r in files} == {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in ids.items()}
+    assert {r.component_id for r in jaccard.similar_documents(table).collect()} == set(train)
+    for r in pitman_yor.score_documents(table).collect():  # two words and their ends: 4 tokens of 3 kinds
+        assert r.base_score == pytest.approx(math.log10(1.1 / 4.4) + math.log10(2.1 / 4.4))
+    columns = toxicity.word_columns(pa.array(words, pa.large_string()))
+    assert columns[0, 0] != columns[1, 0]
+
+
+def test_extra_columns_with_inner_names(spark):
+    """Values, not only names, of columns called like what the operators use inside."""
+    names = ["target", "source_size", "_draw", "_size", "_slot", "_times", "_row", "_severity", "_p_toxic", "_marks", "row", "marks", "id", "_id", "_gone", "_shared", "_c", "_i", "size"]
+    rows = [(i, f"word{i} " * 5 + f"idiot{i % 2}", "s", *range(i, i + len(names))) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    want = {r[0]: r for r in rows}
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    for after in (mixing.mix_documents(table), toxicity.keep_clean(table, labels), jaccard.keep_one(table)):
+        assert after.columns == table.columns
+        got = [tuple(r) for r in after.collect()]
+        assert got and all(r == want[r[0]] for r in got)
+    scored = toxicity.score(table, toxicity.train(table, labels))
+    assert scored.columns.count("_severity") == 1 and scored.count() == 12
 
 
 def test_components(spark):
@@ -202,7 +259,8 @@ def test_topk_bounds_agree_at_every_depth(monkeypatch):
     want = [np.lexsort((ids, -(x @ row)))[:5].tolist() for row in q]
     for depths in ((1.0,), (0.1, 0.3, 0.5, 0.9, 1.0), (0.5, 1.0)):
         monkeypatch.setattr(topk, "DEPTHS", depths)
-        rows, found, score = topk.search_block(q, q_ids, x, ids, 5)
+        rows, found, score, read = topk.search_block(q, q_ids, x, ids, 5)
+        assert (read[:20] < 1).any() == (depths[0] < 1) and (read[read < 1] >= depths[0]).all()
         assert [found[rows == i].tolist() for i in range(40)] == want
         assert (score == (q[rows] * x[found]).sum(axis=1)).all()
 
@@ -262,6 +320,60 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_decoding_nesting_and_raw_elements():
+    body = "<p>AT&<b>amp;</b>T &amp;lt; x</p><svg width=1/><p>formula <math><mi>x</mi></math></p><object data=a><p>inside</p></object>" + "more words here " * 20
+    page = f"<html><body><article>{body}</article></body></html>"
+    text = html_text.extract(page, html_text.vote(page)[0])
+    assert text.startswith("AT&amp;T &lt; x formula x inside more words") and text.count("more words here") == 20
+    deep = "<html><body>" + "<div class=menu-x id=b1>" * 20_000 + "<p>deep text</p>" + "</div>" * 20_000
+    assert html_text.extract(deep, html_text.vote(deep)[0]) == "deep text"
+
+
+def test_html_against_a_real_parser(spark):
+    """The pages' articles as html.parser reads them: all text in article but for elements marked ad."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        void = frozenset("area base br col embed hr img input link meta source track wbr".split())
+        inline = html_text.INLINE
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.text = [], []
+
+        def inside(self):
+            marks = [m for _, m in self.open]
+            return "article" in marks and "no" not in marks
+
+        def handle_starttag(self, tag, attrs):
+            kind = dict(attrs).get("class") or ""
+            if tag not in self.inline:
+                self.text.append(" ")
+            if tag not in self.void:
+                gone = kind in html_text.DROPPED_WORDS or tag in ("nav", "footer", "aside", "form", "script", "style", "title")
+                self.open.append((tag, "no" if gone else "article" if tag == "article" else ""))
+
+        def handle_endtag(self, tag):
+            if tag not in self.inline:
+                self.text.append(" ")
+            while any(t == tag for t, _ in self.open):
+                if self.open.pop()[0] == tag:
+                    break
+
+        def handle_data(self, data):
+            if self.inside():
+                self.text.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    with_article = {r.page_id: r.html for r in pages.where("html like '%<article%'").collect()}
+    got = {r.page_id: r for r in html_text.main_text(pages).collect()}
+    assert len(with_article) > 10
+    for page_id, page in with_article.items():
+        reader = Article()
+        reader.feed(page)
+        assert got[page_id].text == " ".join("".join(reader.text).split())
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(7)
     bad = ["idiot", "moron", "scum", "loser"]
@@ -342,7 +454,7 @@ def test_restaurants_sum_to_one():
     cells = np.unique(rng.integers(0, 5, 400) << 16 | rng.integers(0, words, 400))
     r = pitman_yor.Restaurants(cells, rng.integers(1, 60, len(cells)).astype(np.uint32), 0, 0.7)
     root = np.full(words, 1 / words)
-    tables, opened = r.sample(root, 0)
+    *_, (tables, opened) = r.chain([root] * 3)
     assert (tables >= 1).all() and (tables <= r.counts).all()
     after = pitman_yor.reseat_root(np.bincount(r.dish, weights=tables, minlength=words).astype(np.int64), 0.7, 0)
     assert after.sum() == pytest.approx(1)
@@ -350,10 +462,38 @@ def test_restaurants_sum_to_one():
     for k in range(len(r.first)):
         own = r.of == k
         assert p[own].sum() + back[k] * (1 - after[r.dish[own]].sum()) == pytest.approx(1)
-    again, _ = r.sample(root, 0)
+    *_, (again, _) = r.chain([root] * 3)
     assert (again == tables).all()
 
 
+def test_seating_follows_the_exact_distribution():
+    """Tables of two dishes in one restaurant against all their seatings, weighed by brute force."""
+    d, parent, customers = 0.6, np.array([0.2, 0.05]), (6, 3)
+    stirling = pitman_yor.log_stirling(d)
+    weight = {}
+    for t, u in [(t, u) for t in range(1, 7) for u in range(1, 4)]:
+        opened = math.prod(pitman_yor.STRENGTH + d * i for i in range(t + u))
+        weight[t, u] = math.exp(stirling[6, t] + stirling[3, u]) * opened * parent[0] ** t * parent[1] ** u
+    # Stirling numbers by seating six customers in every way
+    ways = Counter({(): 1.0})
+    for _ in range(6):
+        more = Counter()
+        for sizes, w in ways.items():
+            more[(*sizes, 1)] += w
+            for i, n in enumerate(sizes):
+                more[(*sizes[:i], n + 1, *sizes[i + 1 :])] += w * (n - d)
+        ways = more
+    for t in range(1, 7):
+        assert math.exp(stirling[6, t]) == pytest.approx(sum(w for sizes, w in ways.items() if len(sizes) == t))
+    many = 20_000
+    keys = np.repeat(np.arange(many), 2) << 16 | np.tile([0, 1], many)
+    r = pitman_yor.Restaurants(keys, np.tile(customers, many).astype(np.uint32), 0, d)
+    *_, (tables, _) = r.chain([parent] * 6)
+    got = Counter(map(tuple, tables.reshape(-1, 2).tolist()))
+    for pair, w in weight.items():
+        assert got[pair] / many == pytest.approx(w / sum(weight.values()), abs=0.012)
+
+
 def test_queries_give_their_columns(spark):
     import __spark_entry__ as entry
 
