@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -90,6 +91,8 @@ class PieceEncoder:
 
     def __init__(self, spec: str, widths: np.ndarray | None = None):
         """widths: bytes a token, for models whose ids spell the text; others are placed by their offsets."""
+        # a task has a core: threads of the library's own would only hold memory, more of it the more cores a machine has
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)

@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ LOCAL_SHARED = "/tmp/checkpoints"
 SLICE_BYTES = 2 << 20
 #: Rows that Spark hands to a Python worker at once, at most.
 BATCH_ROWS = 2000
+#: ... and their bytes, about.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,9 +55,43 @@ def forget(df: DataFrame) -> None:
     """Removes what stored() wrote, once nothing reads it any more."""
     at = getattr(df, "_stored_at", None)
     if at:
-        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+        remove(df.sparkSession, at)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    """Deletes a folder of the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def put_in_place(fs: pafs.FileSystem, made: str, path: str) -> None:
+    """Renames a finished file; a lost executor's task that runs again replaces what it left."""
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_file(path)
+    fs.move(made, path)
+
+
+class ArrayFiles:
+    """Named arrays in the shared folder, a file for each key; a task writes what later tasks of any machine read."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, key: str, **arrays: np.ndarray) -> None:
+        fs, root = pafs.FileSystem.from_uri(self.folder)
+        fs.create_dir(root, recursive=True)
+        made = f"{root}/{uuid.uuid4().hex}.unfinished"
+        columns = {f"{name}:{x.dtype.str}": pa.array([x.tobytes()], pa.large_binary()) for name, x in arrays.items()}
+        batch = pa.record_batch(columns)
+        with fs.open_output_stream(made) as sink, pa.ipc.new_file(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        put_in_place(fs, made, f"{root}/{key}")
+
+    def read(self, key: str) -> dict[str, np.ndarray]:
+        fs, root = pafs.FileSystem.from_uri(self.folder)
+        with fs.open_input_file(f"{root}/{key}") as file:
+            batch = pa.ipc.open_file(file).get_batch(0)
+        return {name.split(":")[0]: np.frombuffer(column[0].as_buffer(), name.split(":")[1]) for name, column in zip(batch.schema.names, batch.columns, strict=True)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,10 +105,11 @@ def process_cache() -> dict:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch in this session: whole texts are long, and both sides hold a batch."""
+    """Bounds the rows and bytes of an Arrow batch in this session: whole texts are long, and both sides hold a batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def give_back() -> None:

@@ -13,7 +13,9 @@ the last rounds.
 Nothing that grows with the corpus is gathered in one place. Context
 restaurants are sharded by context and the root by word: a round sends each
 shard's opened tables to its words' shards, and the root's tables of those
-words back. Documents' cells (context, word) are looked up in shards of scores.
+words back. A shard's cells (context, word), its tables after each round and
+its scores are files in the shared folder, so rounds move messages alone.
+Documents' cells are looked up in the shards of their contexts.
 """
 
 from __future__ import annotations
@@ -179,21 +181,22 @@ def heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
 
 
-CELLS = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("contexts", "spans", "words", "dishes", "counts")]])
-CELLS_SQL = "shard int, contexts binary, spans binary, words binary, dishes binary, counts binary"
+CELLS = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("contexts", "spans", "words", "counts")]])
+CELLS_SQL = "shard int, contexts binary, spans binary, words binary, counts binary"
+#: What is told of a shard: its training tokens, and its cells with one and with two of them.
+SHARDS_SQL = "shard int, tokens bigint, once bigint, twice bigint"
 
 
-def cell_counts(docs: DataFrame, shards: int) -> DataFrame:
-    """The cells of all texts with their training counts, 0 for held-out ones alone: a row a shard, all of a context in one.
+def cell_counts(docs: DataFrame, shards: int, files: common.ArrayFiles) -> DataFrame:
+    """A row for each shard, whose file gets the cells of all texts with their training counts, 0 for held-out ones alone.
 
-    contexts are distinct, spans their numbers of cells; dishes are places in the shard's distinct, sorted words.
+    All cells of a context are in one shard: contexts are distinct, spans their
+    numbers of cells; dishes are places in the shard's distinct, sorted words.
     """
-    def packed(shard: int, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, known: bool) -> pa.RecordBatch:
+    def packed(shard: int, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         first = heads(contexts)
-        names, places = np.unique(words, return_inverse=True) if known else (words, np.zeros(0))
         return pa.RecordBatch.from_pydict(
-            {"shard": [shard], "contexts": [contexts[first].tobytes()], "spans": [np.diff(np.append(first, len(contexts))).astype(np.uint32).tobytes()], "words": [names.tobytes()]}
-            | {"dishes": [places.astype(np.uint32).tobytes()], "counts": [counts.astype(np.uint32).tobytes()]},
+            {"shard": [shard], "contexts": [contexts[first].tobytes()], "spans": [np.diff(np.append(first, len(contexts))).astype(np.uint32).tobytes()], "words": [words.tobytes()], "counts": [counts.astype(np.uint32).tobytes()]},
             CELLS,
         )
 
@@ -206,7 +209,7 @@ def cell_counts(docs: DataFrame, shards: int) -> DataFrame:
             for k in range(shards):
                 own = where == k
                 if own.any():
-                    yield packed(k, contexts[own], words[own], counts[own], False)
+                    yield packed(k, contexts[own], words[own], counts[own])
 
         for batch in batches:
             train = ~held_out(batch.column(0).to_pylist())
@@ -228,12 +231,19 @@ def cell_counts(docs: DataFrame, shards: int) -> DataFrame:
         lists = []
         for contexts, spans, words, counts in zip(*(group.column(c).to_pylist() for c in ("contexts", "spans", "words", "counts")), strict=True):
             lists.append((np.repeat(np.frombuffer(contexts, np.uint64), np.frombuffer(spans, np.uint32)), np.frombuffer(words, np.uint64), np.frombuffer(counts, np.uint32)))
-        out = pa.Table.from_batches([packed(group.column("shard")[0].as_py(), *merged(lists), True)])
+        shard = group.column("shard")[0].as_py()
+        contexts, words, counts = merged(lists)
         del lists
+        first = heads(contexts)
+        names, places = np.unique(words, return_inverse=True)
+        spans = np.diff(np.append(first, len(contexts))).astype(np.uint32)
+        files.write(f"cells-{shard}", contexts=contexts[first], spans=spans, words=names, dishes=places.astype(np.uint32), counts=counts.astype(np.uint32))
+        out = pa.Table.from_pydict({"shard": pa.array([shard], pa.int32()), "tokens": [int(counts.sum())], "once": [int((counts == 1).sum())], "twice": [int((counts == 2).sum())]})
+        del contexts, words, counts, names, places
         common.give_back()
         return out
 
-    return common.stored(docs.mapInArrow(count, CELLS_SQL).groupBy("shard").applyInArrow(add, CELLS_SQL), "lm-cells")
+    return common.stored(docs.mapInArrow(count, CELLS_SQL).groupBy("shard").applyInArrow(add, SHARDS_SQL), "lm-shards")
 
 
 ASKED = pa.schema([("shard", pa.int32()), ("asker", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
@@ -252,14 +262,14 @@ def asked(shard: int, words: np.ndarray, counts: np.ndarray, shards: int, named:
             yield {"shard": k, "asker": shard, "words": words[own].tobytes() if named else b"", "counts": counts[own].astype(np.uint32).tobytes()}
 
 
-def root_words(cells: DataFrame, shards: int) -> DataFrame:
+def root_words(known: DataFrame, shards: int, files: common.ArrayFiles) -> DataFrame:
     """shard, words, counts, askers, spots: the words of the root's shards, and each asking shard's words as places among them."""
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, words, dishes, counts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                words = np.frombuffer(words, np.uint64)
-                sums = np.bincount(np.frombuffer(dishes, np.uint32), weights=np.frombuffer(counts, np.uint32), minlength=len(words))
-                for row in asked(shard, words, sums, shards, True):
+            for shard in batch.column(0).to_pylist():
+                cells = files.read(f"cells-{shard}")
+                sums = np.bincount(cells["dishes"], weights=cells["counts"], minlength=len(cells["words"]))
+                for row in asked(shard, cells["words"], sums, shards, True):
                     yield pa.RecordBatch.from_pylist([row], ASKED)
 
     def add(group: pa.Table) -> pa.Table:
@@ -271,7 +281,7 @@ def root_words(cells: DataFrame, shards: int) -> DataFrame:
             counts[at] += np.frombuffer(r["counts"], np.uint32)
         return pa.Table.from_pydict({"shard": [rows[0]["shard"]], "counts": [counts.tobytes()], "askers": [[r["asker"] for r in rows]], "spots": [[x.astype(np.uint32).tobytes() for x in spots]]}, ROOT)
 
-    return common.stored(cells.select("shard", "words", "dishes", "counts").mapInArrow(ask, ASKED_SQL).groupBy("shard").applyInArrow(add, ROOT_SQL), "lm-words")
+    return common.stored(known.select("shard").repartition(shards, "shard").mapInArrow(ask, ASKED_SQL).groupBy("shard").applyInArrow(add, ROOT_SQL), "lm-words")
 
 
 ROOT = pa.schema([("shard", pa.int32()), ("counts", pa.binary()), ("askers", pa.list_(pa.int32())), ("spots", pa.list_(pa.binary()))])
@@ -302,13 +312,18 @@ class Restaurants:
     def opened(self, tables: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, weights=tables, minlength=len(self.first))
 
+    def sweep(self, tables: np.ndarray, round_: int, root: np.ndarray) -> np.ndarray:
+        """Tables of the cells after the round's sweep, given those before it and the root; the same whenever it is asked."""
+        rng, tables = np.random.default_rng([SEED, self.shard, round_]), tables.copy()
+        self.seating.sweep(rng, tables, lambda rows: self.opened(tables)[self.of[rows]] - tables[rows], root[self.dish])
+        return tables
+
     def chain(self, roots: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Tables of the cells and of the restaurants after each round's sweep, given the root before it; the same whenever it is asked."""
+        """Tables of the cells and of the restaurants after each round, given the root before it."""
         tables = self.seating.first()
         for k, root in enumerate(roots):
-            rng = np.random.default_rng([SEED, self.shard, k])
-            self.seating.sweep(rng, tables, lambda rows: self.opened(tables)[self.of[rows]] - tables[rows], root[self.dish])
-            yield tables.copy(), self.opened(tables)
+            tables = self.sweep(tables, k, root)
+            yield tables, self.opened(tables)
 
     def predict(self, root: np.ndarray, tables: np.ndarray, opened: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cells' probabilities, and each restaurant's weight of its parent. after: the root that the tables led to."""
@@ -343,9 +358,8 @@ def discount_of(once: int, twice: int) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
-def restaurants_of(row: dict, discount: float) -> Restaurants:
-    spans, dish = np.frombuffer(row["spans"], np.uint32), np.frombuffer(row["dishes"], np.uint32).astype(np.int64)
-    return Restaurants(np.repeat(np.arange(len(spans)), spans) << 32 | dish, np.frombuffer(row["counts"], np.uint32), row["shard"], discount, 32)
+def restaurants_of(cells: dict[str, np.ndarray], shard: int, discount: float) -> Restaurants:
+    return Restaurants(np.repeat(np.arange(len(cells["spans"])), cells["spans"]) << 32 | cells["dishes"].astype(np.int64), cells["counts"], shard, discount, 32)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -386,21 +400,14 @@ class Model:
         return out, tables.get(-1)
 
 
-def fit(docs: DataFrame, shards: int) -> tuple[Model, DataFrame]:
-    """The model, and the cells' scores (shard, keys, scores as log10, counts of the words) in shards of their own."""
+def fit(docs: DataFrame, shards: int, files: common.ArrayFiles) -> tuple[Model, dict[int, int]]:
+    """The model, whose cells' scores (as log10) are in the shards' files, and the training tokens of each shard."""
     spark = docs.sparkSession
-    cells = cell_counts(docs, shards)
-    root = root_words(cells, shards)
+    known = cell_counts(docs, shards, files)
+    root = root_words(known, shards, files)
     free_shuffles(spark)
-
-    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for counts in batch.column(0).to_pylist():
-                c = np.frombuffer(counts, np.uint32)
-                yield pa.RecordBatch.from_pydict({"once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]})
-
-    got = cells.select("counts").mapInArrow(few, "once bigint, twice bigint").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("once", "twice")]).first()
-    discount = discount_of(*got)
+    rows = known.collect()
+    discount = discount_of(sum(r["once"] for r in rows), sum(r["twice"] for r in rows))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,15 +424,18 @@ def fit(docs: DataFrame, shards: int) -> tuple[Model, DataFrame]:
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast((model, opened))
 
-        def tables(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
-            out = []
-            for row in rows.to_pylist():
-                r, words = restaurants_of(row, discount), np.frombuffer(row["words"], np.uint64)
-                roots, _ = sent.value[0].roots(words, answers.to_pylist(), shards)
-                for seated, _ in r.chain([roots[i - 1] for i in range(k + 1)]):
-                    pass
-                out += asked(row["shard"], words, np.bincount(r.dish, weights=seated, minlength=len(words)), shards, False)
-            return pa.Table.from_pylist(out, ASKED)
+        def tables(answers: pa.Table) -> pa.Table:
+            shard = answers.column("shard")[0].as_py()
+            cells = files.read(f"cells-{shard}")
+            r = restaurants_of(cells, shard, discount)
+            roots, _ = sent.value[0].roots(cells["words"], answers.to_pylist(), shards)
+            before = files.read(f"tables-{k - 1}-{shard}")["tables"].astype(np.int64) if k else r.seating.first()
+            seated = r.sweep(before, k, roots[k - 1])
+            files.write(f"tables-{k}-{shard}", tables=seated.astype(np.uint32))
+            out = pa.Table.from_pylist(list(asked(shard, cells["words"], np.bincount(r.dish, weights=seated, minlength=len(cells["words"])), shards, False)), ASKED)
+            del cells, r, roots, before, seated
+            common.give_back()
+            return out
 
         def reseat(key, rows: pa.Table, messages: pa.Table) -> pa.Table:
             out = []
@@ -438,7 +448,7 @@ def fit(docs: DataFrame, shards: int) -> tuple[Model, DataFrame]:
                 out += replies(row["shard"], k, total, own, row["askers"], row["spots"])
             return pa.Table.from_pylist(out, REPLY)
 
-        messages = cells.groupBy("shard").cogroup(heard(answers).groupBy("shard")).applyInArrow(tables, ASKED_SQL)
+        messages = heard(answers[-1:]).repartition(shards, "shard").groupBy("shard").applyInArrow(tables, ASKED_SQL)
         answers.append(common.stored(root.groupBy("shard").cogroup(messages.groupBy("shard")).applyInArrow(reseat, REPLY_SQL), "lm-root"))
         sums = {r["by"]: r["sums"] for r in answers[-1].where("shard < 0").select("by", "sums").collect()}
         model.sums[k] = tuple(sum(s[i] for s in sums.values()) for i in range(2))
@@ -448,46 +458,39 @@ def fit(docs: DataFrame, shards: int) -> tuple[Model, DataFrame]:
     everything = spark.sparkContext.broadcast(model)
     hot = max(1, -(-model.words.total // HOT_CELLS))
 
-    def score(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        for row in rows.to_pylist():
-            r, words = restaurants_of(row, discount), np.frombuffer(row["words"], np.uint64)
-            roots, counts = everything.value.roots(words, answers.to_pylist(), shards)
-            mean = np.zeros(len(r.counts))
-            for k, seated in enumerate(r.chain([roots[i - 1] for i in range(ROUNDS)])):
-                if k >= BURN_IN:
-                    mean += r.predict(roots[k - 1], *seated, roots[k])[0] / (ROUNDS - BURN_IN)
-            del roots
-            mean, counts = np.log10(mean), counts[r.dish].astype(np.uint32)
-            keys = cell_keys(np.repeat(np.frombuffer(row["contexts"], np.uint64), np.frombuffer(row["spans"], np.uint32)), words[r.dish])
-            where = np.where(r.counts >= hot, -1, sharded(keys, shards)).astype(np.int32)
-            del r, words
-            order = np.argsort(where, kind="stable")
-            ends = np.searchsorted(where[order], np.arange(-1, shards + 1))
-            for s in range(-1, shards):
-                own = order[ends[s + 1] : ends[s + 2]]
-                if len(own):
-                    out.append({"shard": s, "keys": keys[own].tobytes(), "scores": mean[own].tobytes(), "counts": counts[own].tobytes()})
-            del mean, counts, keys, where, order, own
-        made = pa.Table.from_pylist(out, SCORES)
-        del out
+    def score(answers: pa.Table) -> pa.Table:
+        shard = answers.column("shard")[0].as_py()
+        cells = files.read(f"cells-{shard}")
+        r = restaurants_of(cells, shard, discount)
+        roots, counts = everything.value.roots(cells["words"], answers.to_pylist(), shards)
+        mean = np.zeros(len(r.counts))
+        for k in range(BURN_IN, ROUNDS):
+            seated = files.read(f"tables-{k}-{shard}")["tables"].astype(np.int64)
+            mean += r.predict(roots[k - 1], seated, r.opened(seated), roots[k])[0] / (ROUNDS - BURN_IN)
+        mean = np.log10(mean)
+        files.write(f"scores-{shard}", scores=mean.astype(np.float32), word_counts=counts.astype(np.uint32))
+        often = np.flatnonzero(r.counts >= hot)
+        keys = cell_keys(np.repeat(cells["contexts"], cells["spans"])[often], cells["words"][r.dish[often]])
+        out = pa.Table.from_pydict({"keys": [keys.tobytes()], "scores": [mean[often].tobytes()], "counts": [counts[r.dish[often]].astype(np.uint32).tobytes()]}, SCORES)
+        del cells, r, roots, mean, seated
         common.give_back()
-        return made
+        return out
 
-    scores = common.stored(cells.groupBy("shard").cogroup(heard(answers).groupBy("shard")).applyInArrow(score, "shard int, keys binary, scores binary, counts binary"), "lm-scores")
-    rows = scores.where("shard < 0").collect()
+    needed = [answers[0], *answers[max(1, BURN_IN) :]] if BURN_IN else answers
+    rows = heard(needed).repartition(shards, "shard").groupBy("shard").applyInArrow(score, "keys binary, scores binary, counts binary").collect()
     if rows:
         keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
         order = np.argsort(keys)
         model.hot_cells, model.hot_scores, model.hot_counts = (np.concatenate([np.frombuffer(r[c], t) for r in rows])[order] for c, t in (("keys", np.uint64), ("scores", np.float64), ("counts", np.uint32)))
-    for made in (cells, root, *answers):
+    tokens = {r["shard"]: r["tokens"] for r in known.collect()}
+    for made in (known, root, *answers):
         common.forget(made)
-    del cells, root, answers
+    del known, root, answers, needed
     free_shuffles(spark)
-    return model, scores.where("shard >= 0")
+    return model, tokens
 
 
-SCORES = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("scores", pa.binary()), ("counts", pa.binary())])
+SCORES = pa.schema([(c, pa.binary()) for c in ("keys", "scores", "counts")])
 
 
 def postings(docs: DataFrame, sent, shards: int) -> DataFrame:
@@ -502,7 +505,7 @@ def postings(docs: DataFrame, sent, shards: int) -> DataFrame:
             for part in common.slices(batch):
                 index, hashes, ends = tokens_of(part)
                 n = part.num_rows
-                keys, _, _, doc, place = cells_of(index, hashes, ends)
+                keys, contexts, _, doc, place = cells_of(index, hashes, ends)
                 spot = np.minimum(np.searchsorted(model.hot_cells, keys), max(0, len(model.hot_cells) - 1))
                 hot = model.hot_cells[spot] == keys if len(model.hot_cells) else np.zeros(len(keys), bool)
                 at = hot[place]
@@ -520,24 +523,22 @@ def postings(docs: DataFrame, sent, shards: int) -> DataFrame:
                     | {"known": [known.astype(np.int32).tobytes()], "base": [base.tobytes()], "score": [score.tobytes()]},
                     POSTINGS,
                 )
-                yield from keyed(name, keys, place[~at], doc[~at], shards)
+                yield from keyed(name, keys, sharded(contexts, shards), place[~at], doc[~at])
 
     return docs.mapInArrow(run, POSTINGS_SQL)
 
 
-def keyed(name: int, distinct: np.ndarray, place: np.ndarray, doc: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a slice's (key's place in `distinct`, text) pairs by shard."""
+def keyed(name: int, distinct: np.ndarray, shard: np.ndarray, place: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a slice's (key's place in `distinct`, text) pairs by the key's shard."""
     width = int(doc.max(initial=0)) + 1
     pairs, times = np.unique(place * width + doc, return_counts=True)
     place, doc = pairs // width, pairs % width
-    where = sharded(distinct, shards)[place]
+    where = shard[place]
     order = np.argsort(where, kind="stable")
     place, doc, times = place[order], doc[order], times[order]
-    ends = np.searchsorted(where[order], np.arange(shards + 1))
-    for s in range(shards):
-        a, b = ends[s], ends[s + 1]
-        if a == b:
-            continue
+    first = heads(where[order])
+    for a, b in zip(first, np.append(first[1:], len(where)), strict=False):
+        s = int(where[order[a]])
         own = place[a:b]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         row = {"shard": [s], "slice": [name], "kind": [CELL], "keys": [distinct[own[first]].tobytes()]}
@@ -551,11 +552,15 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n]).astype(np.int64)
 
 
-def looked_up(rows: pa.Table, known: pa.Table, model: Model) -> Iterator[dict]:
+def looked_up(rows: pa.Table, files: common.ArrayFiles, model: Model) -> Iterator[dict]:
     """The rows of a shard with their keys' sums a text in place of the keys."""
-    cells, logs, counts = (np.concatenate([np.frombuffer(x, t) for x in known.column(c).to_pylist()] or [np.zeros(0, t)]) for c, t in (("keys", np.uint64), ("scores", np.float64), ("counts", np.uint32)))
-    order = np.argsort(cells)
-    cells, logs, counts = cells[order], logs[order], counts[order]
+    shard = rows.column("shard")[0].as_py()
+    if (np.array(rows.column("kind").to_pylist()) == CELL).any():
+        known, scores = files.read(f"cells-{shard}"), files.read(f"scores-{shard}")
+        cells = cell_keys(np.repeat(known["contexts"], known["spans"]), known["words"][known["dishes"]])
+        order = np.argsort(cells)
+        cells, logs, counts = cells[order], scores["scores"][order].astype(np.float64), scores["word_counts"][known["dishes"][order]]
+        del known, scores, order
     for row in (rows.slice(i, 1).to_pylist()[0] for i in range(rows.num_rows)):
         if row["kind"] == INFO:
             yield row
@@ -585,15 +590,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     # the number of shards follows the characters, about six a token
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = int(max(12, -(-chars // (6 * SHARD_TOKENS))))
-    model, known = fit(docs, shards)
+    files = common.ArrayFiles(common.new_path(spark, "lm-files"))
+    model, tokens = fit(docs, shards, files)
     sent = spark.sparkContext.broadcast(model)
 
-    def lookup(key, rows: pa.Table, known: pa.Table) -> pa.Table:
-        out = pa.Table.from_pylist(list(looked_up(rows, known, sent.value)), schema=POSTINGS)
+    def lookup(rows: pa.Table) -> pa.Table:
+        out = pa.Table.from_pylist(list(looked_up(rows.drop_columns(["part"]), files, sent.value)), schema=POSTINGS)
         common.give_back()
         return out
 
-    sums = postings(docs, sent, shards).groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lookup, POSTINGS_SQL)
+    # what asks a shard is dealt to as many tasks as the shard holds shares of tokens
+    parts = spark.createDataFrame([(k, max(1, -(-n // SHARD_TOKENS))) for k, n in tokens.items()] or [(0, 1)], "_shard int, _parts int")
+    asking = postings(docs, sent, shards).join(F.broadcast(parts), F.col("shard") == F.col("_shard"), "left")
+    asking = asking.withColumn("part", F.pmod(F.xxhash64("slice"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_shard", "_parts")
+    sums = asking.groupBy("shard", "part").applyInArrow(lookup, POSTINGS_SQL)
     total = model.words.total
 
     def finish(group: pa.Table) -> pa.Table:

@@ -64,13 +64,6 @@ class SequenceWriter:
         self.out.close()
 
 
-def put_in_place(fs: pafs.FileSystem, made: str, path: str) -> None:
-    """Renames a finished file; a lost executor's task that runs again replaces what it left."""
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_file(path)
-    fs.move(made, path)
-
-
 def write(docs: DataFrame, spec: str, folder: str, end_id: int, sequence: int = SEQUENCE, parts: int | None = None) -> list:
     """Encodes docs(doc_id, text) into part files under `folder`; a manifest row for each part, in order.
 
@@ -111,8 +104,8 @@ def write(docs: DataFrame, spec: str, folder: str, end_id: int, sequence: int =
         name = f"{root}/part-{part:05d}"
         with fs.open_output_stream(f"{made}.docs") as sink, pa.ipc.new_stream(sink, DOCS) as stream:
             stream.write_table(pa.table([pa.chunked_array(ids_of, pa.int64()), np.cumsum(sizes) - sizes, sizes], schema=DOCS), max_chunksize=65536)
-        put_in_place(fs, f"{made}.docs", f"{name}.docs.arrow")
-        put_in_place(fs, made, f"{name}.arrow")
+        common.put_in_place(fs, f"{made}.docs", f"{name}.docs.arrow")
+        common.put_in_place(fs, made, f"{name}.arrow")
         at = f"{folder}/part-{part:05d}"
         row = {"part": [part], "path": [f"{at}.arrow"], "docs_path": [f"{at}.docs.arrow"], "n_docs": [len(sizes)], "n_tokens": [out.n]}
         yield pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
