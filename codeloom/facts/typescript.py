@@ -68,19 +68,30 @@ def names_of(clause: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def scopes(masked: str) -> list[tuple[str, int, int]]:
+def brackets(masked: str) -> dict[int, tuple[int, list[int]]]:
+    """For each opening bracket the place of its closing one, and the commas directly inside; one pass."""
+    out: dict[int, tuple[int, list[int]]] = {}
+    open_: list[tuple[int, list[int]]] = []
+    for m in re.finditer(r"[()\[\]{},]", masked):
+        if m[0] in "([{":
+            open_.append((m.start(), []))
+        elif open_ and m[0] == ",":
+            open_[-1][1].append(m.start())
+        elif open_:
+            begin, commas = open_.pop()
+            out[begin] = (m.start(), commas)
+    return out
+
+
+def scopes(masked: str, closed: dict[int, tuple[int, list[int]]]) -> list[tuple[str, int, int]]:
     """(name, begin, end) of named functions, by braces."""
     out = []
     for m in FUNCTION.finditer(masked):
         brace = masked.find("{", m.end())
         if brace < 0 or ";" in masked[m.end() : brace] and m[2]:
             continue
-        depth = 0
-        for at in range(brace, len(masked)):
-            depth += {"{": 1, "}": -1}.get(masked[at], 0)
-            if not depth:
-                out.append((m[1] or m[2], m.start(), at))
-                break
+        if brace in closed:
+            out.append((m[1] or m[2], m.start(), closed[brace][0]))
     return out
 
 
@@ -105,7 +116,8 @@ def extract(path: str, source: str) -> dict:
     code = strip_comments(source)
     masked = mask_strings(source)
     at = lambda m: line_at(code, m.start())
-    found = scopes(masked)
+    closed = brackets(masked)
+    found = scopes(masked, closed)
     imports, exports = [], []
 
     def add(kind, specifier, m, names=(), re_export=False, side_effect=False):
@@ -134,15 +146,8 @@ def extract(path: str, source: str) -> dict:
         name = m[1].replace("?.", ".")
         if name in ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "import", "super"):
             continue
-        depth, begin, args, close = 1, m.end(), [], m.end()
-        for close in range(m.end(), min(len(masked), m.end() + 2000)):
-            c = masked[close]
-            depth += (c in "([{") - (c in ")]}")
-            if not depth or depth == 1 and c == ",":
-                args.append(code[begin:close].strip())
-                begin = close + 1
-            if not depth:
-                break
+        close, commas = closed.get(m.end() - 1, (m.end(), []))
+        args = [code[x + 1 : y].strip() for x, y in zip([m.end() - 1, *commas], [*commas, close], strict=True)]
         args = [a for a in args if a]
         calls.append(dict(callee=name, line=at(m), scope=scope_at(found, m.start()), args=args, shapes=[shape(a) for a in args]))
     exported = {e["imported"] for e in exports if e["imported"]}
@@ -152,7 +157,8 @@ def extract(path: str, source: str) -> dict:
 
     http = []
     for m in HTTP.finditer(code):
-        method = METHOD.search(code, m.end(), m.end() + 200) if m[1] or m[3] else None
+        upto = closed.get(code.find("(", m.start()), (len(code), []))[0]
+        method = METHOD.search(code, m.end(), upto) if m[1] or m[3] else None
         http.append(dict(url=template(text_of(m.groups()[3:])), method=(m[2] or (method[1] if method else "get")).upper(), line=at(m)))
     routes = [dict(object=m[1], method=m[2], route=text_of(m.groups()[2:]), line=at(m)) for m in ROUTE.finditer(code) if (text_of(m.groups()[2:]) or "").startswith(("/", "*", ""))]
     prefix = ""

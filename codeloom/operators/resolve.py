@@ -11,8 +11,12 @@ from codeloom.facts import documents
 from codeloom.functions import paths as P
 from codeloom.operators.matching import nearest_ancestor
 
-#: Probed endings, in order.
-ENDINGS = ["", ".ts", ".tsx", ".mts", ".cts", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".json", "/index.ts", "/index.tsx", "/index.mts", "/index.js", "/index.jsx", "/index.mjs"]
+#: Endings probed for a specifier without one of EXPLICIT, in order; then the same as index files.
+ENDINGS = [".mts", ".ts", ".tsx", ".mjs", ".js", ".jsx", ".cjs", ".cts", ".d.ts", ".d.mts", ".d.cts"]
+#: Endings that name a file as it stands.
+EXPLICIT = "mts ts tsx mjs js jsx cjs cts json css scss sass less svg png jpg jpeg gif webp avif txt wasm".split()
+#: Sources of an emitted ending, probed before the literal file, and what stands in for it, probed behind it.
+EMITTED = {"mjs": ([".mts"], [".d.mts"]), "cjs": ([".cts"], [".d.cts"]), "js": ([".ts", ".tsx"], [".jsx", ".d.ts"])}
 ALIASES = "dir string, head string, tail string, exact boolean, target string, ord int"
 
 
@@ -59,12 +63,25 @@ def tsconfig_aliases(files: DataFrame) -> DataFrame:
     return files.sparkSession.createDataFrame(found, ALIASES)
 
 
+def candidates(base: F.Column) -> F.Column:
+    """The paths that an extensionless or emitted base stands for, in the order they are probed."""
+    def ended(stem: F.Column, endings: list[str]) -> list[F.Column]:
+        return [F.concat(stem, F.lit(e)) for e in endings]
+
+    other = F.array(*ended(base, ENDINGS), *ended(F.concat(base, F.lit("/index")), ENDINGS), base)
+    out = F.when(base.rlike(r"\.(" + "|".join(EXPLICIT) + ")$"), F.array(base)).otherwise(other)
+    for ending, (before, behind) in EMITTED.items():
+        stem = F.regexp_replace(base, rf"\.{ending}$", "")
+        out = F.when(base.endswith(f".{ending}"), F.array(*ended(stem, before), base, *ended(stem, behind))).otherwise(out)
+    return out
+
+
 def resolve(imports: DataFrame, files: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     """imports(importer, specifier, ...) with target (a path or null) and package (the external module or null).
 
     Each (folder, specifier) is resolved once: relative ones by their folder,
     others by the mappings of the nearest tsconfig and by the workspace's
-    packages(name, dir, entry, exports). The first ending that exists wins.
+    packages(name, dir, entry, exports). The first candidate that exists wins.
     """
     asked = imports.select(P.dirname(F.col("importer")).alias("_dir"), F.col("specifier").alias("_spec")).distinct()
     spec = F.regexp_replace("_spec", r"(?<!^)[?#].*$", "")
@@ -83,9 +100,7 @@ def resolve(imports: DataFrame, files: DataFrame, packages: DataFrame | None = N
         sub = F.substr(spec, F.length("_name") + 2)
         into = F.coalesce(F.try_element_at("exports", F.when(sub == "", ".").otherwise(F.concat(F.lit("./"), sub))), F.when(sub == "", F.coalesce("entry", F.lit("src/index"))).otherwise(sub))
         ways = ways.unionByName(named.select("_dir", "_spec", F.lit(1000).alias("_way"), P.normalize_path(F.concat_ws("/", "_pdir", into)).alias("_base")))
-    endings = F.transform(F.array(*[F.lit(e) for e in ENDINGS]), lambda e: F.concat(F.col("_base"), e))
-    typed = F.when(F.col("_base").rlike(r"\.[cm]?jsx?$"), F.transform(F.array(F.lit(".ts"), F.lit(".tsx"), F.lit(".mts"), F.lit(".cts")), lambda e: F.concat(F.regexp_replace("_base", r"\.[cm]?jsx?$", ""), e))).otherwise(F.array().cast("array<string>"))
-    tried = ways.select("_dir", "_spec", "_way", F.posexplode(F.concat(endings, typed)).alias("_pos", "path"))
+    tried = ways.select("_dir", "_spec", "_way", F.posexplode(candidates(F.col("_base"))).alias("_pos", "path"))
     hits = tried.join(files.select("path"), "path").groupBy("_dir", "_spec").agg(F.min_by("path", F.struct("_way", "_pos")).alias("target"))
     out = imports.withColumns({"_dir": P.dirname(F.col("importer"))}).join(hits.withColumnRenamed("_spec", "specifier"), ["_dir", "specifier"], "left").drop("_dir")
     return out.withColumn("package", F.when(F.col("target").isNull(), P.package_name(F.col("specifier"))))

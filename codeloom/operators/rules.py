@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,8 +174,10 @@ def forbidden_dependencies(e, o):
 
 @rule("forbidden-workspace-closure")
 def forbidden_workspace_closure(e, o):
-    reach = G.closure(e.package_edges)
-    hit = reach.where(F.col("a").isin(o.get("packages", [])) & F.col("b").isin(o.get("forbidden", [])))
+    reached = [G.visit(e.package_edges, e.spark.createDataFrame([(p,)], "id string")).where("depth > 0").select(F.lit(p).alias("a"), F.col("id").alias("b")) for p in o.get("packages", [])]
+    if not reached:
+        return union(e, [])
+    hit = reduce(DataFrame.unionByName, reached).where(F.col("b").isin(o.get("forbidden", [])))
     return finding("forbidden-workspace-closure", hit.join(e.packages.select(F.col("name").alias("a"), "path"), "a"), message=F.concat_ws(" reaches ", "a", "b"), target=F.col("b"))
 
 
@@ -745,4 +748,4 @@ def check(e, rules: dict[str, dict]) -> DataFrame:
     """The findings of the rules, suppressed ones left out, each once."""
     register_repeats()
     found = union(e, [RULES[name](e, options or {}) for name, options in rules.items()])
-    return suppress(found, e.directives).distinct()
+    return suppress(found, e.directives).distinct().orderBy("file", F.col("line").asc_nulls_first(), "rule", "message", "target")

@@ -196,7 +196,7 @@ def route_match(spark, d):
 @query("""SELECT page_id, pattern FROM (SELECT page_id, CASE WHEN regexp_matches(path, '^/fr/[^/]+/?$') THEN '/fr/:id' WHEN regexp_matches(path, '^/[^/]+/[^/]+/?$') AND NOT regexp_matches(path, '^/en(/|$)') THEN '/:lang/:id' WHEN regexp_matches(path, '^/en(/|$)') THEN '/en/**' END AS pattern
 FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-zA-Z]+://[^/?#]*', ''), '[?#].*$', '') AS path FROM pages)) WHERE pattern IS NOT NULL""")
 def route_specificity(spark, d):
-    w = Window.partitionBy("page_id").orderBy(P.route_specificity(F.col("pattern")).desc())
+    w = Window.partitionBy("page_id").orderBy(P.route_specificity(F.col("pattern")).desc(), "pattern")
     return route_match(spark, d).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("page_id", "pattern")
 
 

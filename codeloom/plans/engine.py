@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths as P
+from codeloom.functions.lineage import cut
 from codeloom.operators import graph as G
 from codeloom.operators import matching as M
 from codeloom.operators import resolve as R
@@ -113,12 +114,17 @@ class Engine:
         mounts = mounts.select("importer", F.regexp_extract(F.col("c.args")[0], r"[\"'`]([^\"'`]*)", 1).alias("prefix"), F.regexp_extract(F.col("c.args")[1], r"^([\w$]+)", 1).alias("local"))
         named = self.resolved.where("target is not null").select("importer", "target", F.explode("locals").alias("local"))
         mounts = mounts.where("prefix <> ''").join(named, ["importer", "local"]).select(F.col("target").alias("file"), "importer", "prefix")
-        full = mounts.select("file", "prefix", F.col("importer").alias("at"))
-        for _ in range(8):  # prefixes of routers in routers; deeper nesting isn't followed
-            outer = mounts.select(F.col("file").alias("at"), F.col("prefix").alias("_o"), F.col("importer").alias("_at"))
-            full = full.join(outer, "at", "left").select("file", P.join_routes(F.coalesce("_o", F.lit("")), F.col("prefix")).alias("prefix"), F.col("_at").alias("at")).distinct()
-            if full.where("at is not null").isEmpty():
+        step = mounts.select("file", "prefix", F.col("importer").alias("at"))
+        outer = mounts.select(F.col("file").alias("at"), F.col("prefix").alias("_o"), F.col("importer").alias("_at"), F.col("file").alias("_via"))
+        step = step.withColumn("seen", F.array("file"))
+        done = []
+        while True:  # prefixes of routers in routers; a mount that leads back to itself isn't followed
+            longer = step.join(outer, "at", "left")
+            done.append(longer.where("_o is null").select("file", "prefix"))
+            step = cut(longer.where(F.col("_o").isNotNull() & ~F.array_contains("seen", F.col("_via"))).select("file", P.join_routes("_o", F.col("prefix")).alias("prefix"), F.col("_at").alias("at"), F.array_append("seen", F.col("_via")).alias("seen")).distinct())
+            if step.isEmpty():
                 break
+        full = reduce(DataFrame.unionByName, done)
         routed = own.join(full.select("file", "prefix").distinct(), "file", "left")
         params = self.typescript.select(F.col("path").alias("file"), F.col("query_reads").alias("params"))
         return routed.withColumn("route", P.join_routes(F.coalesce("prefix", F.lit("")), F.col("route"))).drop("prefix", "object").join(params, "file")
@@ -170,14 +176,19 @@ class Engine:
         mods = lang.where("module is not null").select(F.col("path").alias("dst"), "lang", F.col("module").alias("name"))
         packs = lang.where("package is not null").select(F.col("path").alias("dst"), "lang", F.col("package").alias("name"))
         uses = lang.select(F.col("path").alias("src"), "lang", F.explode("imports").alias("name"))
+        lang_imports = self._edge(uses.join(mods.unionByName(packs), ["lang", "name"]), "src", "dst", F.concat("lang", F.lit("-import")))
+        # a name means the declaration beside it, in its package, or in a file that it imports
+        named = refs.withColumnRenamed("_p", "_rp").join(decl, ["_l", "name"]).withColumn("_pkg", F.coalesce(F.col("_rp") == F.col("_p"), F.lit(False)))
+        named = named.join(lang_imports.select("src", "dst", F.lit(True).alias("_i")).distinct(), ["src", "dst"], "left").withColumn("_brought", F.coalesce("_i", F.lit(False)))
+        same_folder = (P.dirname(F.col("src")) == P.dirname(F.col("dst"))) & F.equal_null("_rp", "_p")
         tf = self.terraform.withColumn("dir", P.dirname(F.col("path")))
         blocks = tf.select("dir", F.col("path").alias("dst"), F.explode("blocks").alias("b")).select("dir", "dst", "b.*")
         tf_refs = tf.select("dir", F.col("path").alias("src"), F.explode("refs").alias("r")).select("dir", "src", "r.*")
         modules = blocks.where("kind = 'module' and source like '.%'").select("dir", "address", P.normalize_path(F.concat_ws("/", "dir", "source")).alias("mdir"))
         outputs = blocks.where("kind = 'output'").select(F.col("dir").alias("mdir"), F.substring_index("address", ".", -1).alias("output"), F.col("dst").alias("odst"))
         components = self._each("components")
-        declared = components.select(F.col("name").alias("child"), F.col("file").alias("dst"))
-        rendered = components.select("file", F.explode("children").alias("child"))
+        brought = self.resolved.where("target is not null and kind <> 'type-import'").select(F.col("importer").alias("file"), F.explode("locals").alias("child"), F.col("target").alias("dst"))
+        rendered = components.select("file", F.explode("children").alias("child")).withColumn("child", F.substring_index("child", ".", 1))
         job = lambda p, j: F.concat(p, F.lit("#job:"), j)
         wf = rules.jobs_of(self)
         nav = self._each("urls").withColumn("url", P.url_path(F.col("url")))
@@ -197,7 +208,7 @@ class Engine:
             "queue": self._edge(self.queue_producers.withColumn("node", jobs), "file", "node", "queue-enqueue").unionByName(self._edge(self.queue_workers.where("job is not null").withColumn("node", jobs), "node", "file", "queue-worker")),
             "process": self._edge(spawned.join(self.files.select("path"), P.normalize_path(F.col("arg")) == F.col("path")), "file", "path", "process"),
             "resource": self._edge(self._each("resources").join(self.files.select("path"), P.normalize_path(F.col("target")) == F.col("path")), "file", "path", "resource"),
-            "react-render": self._edge(rendered.join(declared, "child"), "file", "dst", "react-render"),
+            "react-render": self._edge(rendered.join(brought, ["file", "child"]), "file", "dst", "react-render"),
             "route-test": self._edge(nav.join(self.page_routes.withColumnRenamed("file", "page"), P.route_matches(F.col("url"), F.col("route"))), "file", "page", "route-test"),
             "layout": self._edge(self.page_routes.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("file", "/")) - 1), lambda n: F.array_join(F.slice(F.split("file", "/"), F.lit(1), n), "/"))).alias("dir")).join(self.files.where(P.basename(F.col("path")).rlike(r"^layout\.[jt]sx?$")).select("path", P.dirname(F.col("path")).alias("dir")), "dir"), "file", "path", "layout"),
             "selector": self._edge(self.locators.where("kind = 'getByTestId'").join(rules.selectors(self).select(F.col("file").alias("component"), "value"), "value"), "file", "component", "selector"),
@@ -205,8 +216,8 @@ class Engine:
             "terraform-ref": self._edge(tf_refs.join(blocks.select("dir", "address", "dst"), ["dir", "address"]), "src", "dst", "terraform-ref"),
             "terraform-output": self._edge(tf_refs.where("output is not null").join(modules, ["dir", "address"]).join(outputs, ["mdir", "output"]), "src", "odst", "terraform-output"),
             "terraform-module": self._edge(tf_refs.where("address like 'module.%' and output is null").join(modules, ["dir", "address"]).join(self.files.where("ext = 'tf'").select(P.dirname(F.col("path")).alias("mdir"), F.col("path").alias("odst")), "mdir"), "src", "odst", "terraform-module"),
-            "lang-import": self._edge(uses.join(mods.unionByName(packs), ["lang", "name"]), "src", "dst", F.concat("lang", F.lit("-import"))),
-            "lang-ref": self._edge(refs.join(decl, ["_l", "name"]).where(F.equal_null(refs["_p"], decl["_p"])), "src", "dst", F.concat("_l", F.lit("-ref"))),
+            "lang-import": lang_imports,
+            "lang-ref": self._edge(named.where(same_folder | (F.col("_pkg") & (F.col("_l") != "go")) | F.col("_brought")), "src", "dst", F.concat("_l", F.lit("-ref"))),
             "rust-mod": self._edge(lang.where("lang = 'rs'").select(F.col("path").alias("src"), P.dirname(F.col("path")).alias("d"), F.explode("mods").alias("m")).select("src", F.explode(F.array(F.concat_ws("/", "d", F.concat("m", F.lit(".rs"))), F.concat_ws("/", "d", "m", F.lit("mod.rs")))).alias("path")).join(self.files.select("path"), "path"), "src", "path", "rust-mod"),
             "workflow-job": self._edge(wf.withColumn("node", job(F.col("path"), F.col("job"))), "path", "node", "workflow-job"),
             "workflow-needs": self._edge(wf.select(job(F.col("path"), F.col("job")).alias("a"), F.explode("needs").alias("n"), "path").withColumn("b", job(F.col("path"), F.col("n"))), "a", "b", "workflow-needs"),
@@ -312,12 +323,13 @@ class Engine:
         if symbol is None:
             return self.resolved.where(F.col("target") == file).select("importer", "kind", "line").distinct()
         found = rows.where((F.col("source") == file) & F.col("symbol").isin(symbol, "*"))
-        out, step = found, found
-        for _ in range(32):  # chains of re-exports; longer ones are cycles
-            step = rows.join(step.where("re_export").select(F.col("importer").alias("source"), F.when(F.col("local") == "*", F.lit(symbol)).otherwise(F.col("local")).alias("symbol")).distinct(), ["source", "symbol"])
+        out = step = cut(found)
+        while True:  # re-exports hand the symbol on, until they bring nothing new
+            passed = step.where("re_export").select(F.col("importer").alias("source"), F.when(F.col("local") == "*", F.col("symbol") if symbol == "*" else F.lit(symbol)).otherwise(F.col("local")).alias("symbol")).distinct()
+            step = cut(rows.join(passed, ["source", "symbol"]).select(out.columns).join(out, out.columns, "left_anti").distinct())
             if step.isEmpty():
                 break
-            out = out.unionByName(step.select(out.columns))
+            out = cut(out.unionByName(step))
         return out.select("importer", "symbol", "local", "re_export").distinct()
 
     def exports_of(self, file: str) -> DataFrame:
