@@ -561,6 +561,9 @@ def looked_up(rows: pa.Table, files: common.ArrayFiles, model: Model) -> Iterato
         order = np.argsort(cells)
         cells, logs, counts = cells[order], scores["scores"][order].astype(np.float64), scores["word_counts"][known["dishes"][order]]
         del known, scores, order
+        # keys are evenly spread, so their first bits lead next to their places
+        shift = np.uint64(64 - max(1, len(cells).bit_length()))
+        near = np.searchsorted(cells, np.arange(1 << (64 - int(shift)), dtype=np.uint64) << shift)
     for row in (rows.slice(i, 1).to_pylist()[0] for i in range(rows.num_rows)):
         if row["kind"] == INFO:
             yield row
@@ -570,7 +573,11 @@ def looked_up(rows: pa.Table, files: common.ArrayFiles, model: Model) -> Iterato
         spans = np.frombuffer(row["spans"], np.uint16 if len(row["spans"]) == 2 * m else np.uint32).astype(np.int64)
         total = int(spans.sum())
         texts, times = unpacked(row["texts"], total), unpacked(row["times"], total)
-        spot = np.searchsorted(cells, wanted)  # the cells of all texts are there
+        spot = near[(wanted >> shift).astype(np.int64)]
+        short = np.flatnonzero(cells[spot] < wanted)
+        while len(short):  # the cells of all texts are there
+            spot[short] += 1
+            short = short[cells[spot[short]] < wanted[short]]
         n = int(texts.max()) + 1
         spread = lambda x: np.bincount(texts, weights=np.repeat(x[spot], spans) * times, minlength=n)
         yield row | {"keys": None, "spans": None, "texts": None, "times": None, "score": spread(logs).tobytes(), "known": spread(counts > 0).astype(np.int32).tobytes(), "base": spread(model.words.base(counts)).tobytes()}
