@@ -233,7 +233,7 @@ def markdown(path: str, text: str) -> dict:
             kind = lines[0].split()[0].rstrip(";") if lines else ""
             unpaired = any(code.count(a) != code.count(b) for a, b in ("[]", "()", "{}"))
             mermaid.append(dict(line=line, diagram=kind, error="empty diagram" if not lines else "unknown diagram type" if kind not in DIAGRAMS else "unbalanced brackets" if unpaired else None))
-    tables = len(re.findall(r"^\s*\|?[ \t:|-]*-{3,}[ \t:|-]*\|[ \t:|-]*$", body, re.M))
+    tables = len(re.findall(r"^[ \t]*(?=.*\|)\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$", body, re.M))
     return dict(links=links, headings=headings, mermaid=mermaid, tables=tables, fences=len(fences))
 
 

@@ -593,7 +593,7 @@ def nextjs_redirect_destinations(e, o):
 # file-local lint rules over extracted facts (2.16)
 
 TESTS = ["**/*.test.*", "**/*.spec.*", "*.test.*", "*.spec.*"]
-FETCH_METHOD = r"\bmethod\s*:\s*(?![\"'`])"
+FETCH_METHOD = r"\bmethod\s*:\s*+(?![\"'`])"
 
 
 def calls(e, o: dict, default: list[str] = ("**",)) -> DataFrame:

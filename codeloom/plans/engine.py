@@ -374,10 +374,10 @@ class Engine:
         return self.server_routes.select("file", F.upper("method").alias("method"), P.normalize_route(F.col("route")).alias("route"), "line", "params")
 
     def server_route_edges(self) -> DataFrame:
-        return self.producers()["http"]
+        return G.dedupe_edges(self.producers()["http"])
 
     def server_route_related(self, *files: str, depth: int | None = None) -> DataFrame:
-        return G.related_edges(self.producers()["http"], self._roots(*files), depth)
+        return G.related_edges(self.server_route_edges(), self._roots(*files), depth)
 
     def server_contracts(self) -> DataFrame:
         """Client calls whose query keys the first matching route doesn't read."""
