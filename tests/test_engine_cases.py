@@ -20,6 +20,6 @@ def test_cases(spark, group):
     assert {n: r for n, r in got.items() if r != want[n]} == {}
 
 
-def test_every_rule_has_a_case():
+def test_every_rule_has_a_case(spark):
     rules.register_repeats()
     assert set(rules.RULES) - set(engine_cases.RULE_CASES) == {"shellcheck-runner"}  # a program that isn't here
