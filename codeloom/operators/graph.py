@@ -1,8 +1,10 @@
 """The property graph: edges(src, dst, kind), and traversals as loops of frontier joins.
 
-Joins carry no hints: a small frontier is broadcast by its measured size and a
-large one is shuffled, as adaptive execution decides. Each level is
-checkpointed, so lineage stays short and a lost executor costs one level.
+Joins carry no hints: a small frontier is broadcast by its written size, and the
+edges stay where they are; a large one is shuffled. Edges are written once for a
+traversal and each level once, so lineage stays short and a lost executor costs
+one level. Traversals take repeated edges as they come: what a level reaches is
+made distinct, so nobody need shuffle all edges first.
 """
 
 from __future__ import annotations
@@ -42,23 +44,28 @@ def visit(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, stop
     """id, depth of the roots (0) and of all they reach, least depth each.
 
     stop(id): nodes that are reached but neither kept nor left again (G9).
+    Further columns of roots name separate traversals, walked in one go.
     """
-    pairs = edges.select("src", "dst").distinct()
+    pairs = edges.select("src", "dst")
     if stop is not None:
         pairs = pairs.join(stop.select(F.col("id").alias("dst")), "dst", "left_anti")
-    if max_depth is None or max_depth > 1:
-        pairs = cut(pairs)  # read once a level, made once
-    frontier = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
+    return _levels(pairs if max_depth is not None and max_depth < 2 else cut(pairs), roots, max_depth)
+
+
+def _levels(pairs: DataFrame, roots: DataFrame, max_depth: int | None) -> DataFrame:
+    """visit() on pairs that are cheap to read once a level."""
+    key = [c for c in roots.columns if c != "id"] + ["id"]
+    frontier = cut(roots.select(key).distinct().withColumn("depth", F.lit(0)))
     levels = [frontier]
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        seen = reduce(DataFrame.unionByName, levels).select("id")
-        step = frontier.join(pairs, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
+        seen = reduce(DataFrame.unionByName, levels).select(key)
+        step = frontier.join(pairs, F.col("id") == F.col("src")).select(*key[:-1], F.col("dst").alias("id")).distinct()
+        frontier = cut(step.join(seen, key, "left_anti").withColumn("depth", F.lit(depth)))
         levels.append(frontier)
+        if depth != max_depth and frontier.isEmpty():
+            break
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -72,7 +79,8 @@ def traverse(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, k
     allowed = with_kinds(edges, kinds)
     if universe is not None:
         allowed = allowed.join(universe.select(F.col("id").alias("dst")), "dst", "left_semi")
-    seen = cut(visit(allowed, roots, max_depth))
+    allowed = cut(allowed.select("src", "dst", "kind"))
+    seen = _levels(allowed, roots, max_depth)
     left = seen if max_depth is None else seen.where(F.col("depth") < max_depth)
     used = allowed.join(left.select(F.col("id").alias("src")), "src", "left_semi")
     return seen.where("depth > 0").join(via_sets(used), "id")
@@ -80,32 +88,41 @@ def traverse(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, k
 
 def flow(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """src, dst, kind, depth of every edge left within the depth (G7): also those to nodes seen before."""
-    seen = visit(edges, roots, max_depth - 1)
-    return edges.join(seen.select(F.col("id").alias("src"), (F.col("depth") + 1).alias("depth")), "src")
+    edges = cut(edges)
+    seen = _levels(edges, roots, max_depth - 1)
+    return dedupe_edges(edges.join(seen.select(F.col("id").alias("src"), (F.col("depth") + 1).alias("depth")), "src"))
 
 
 def related_edges(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Each arc once, with the level that it is walked at."""
-    seen = visit(edges, roots, None if max_depth is None else max_depth - 1)
-    return edges.join(seen.select(F.col("id").alias("src"), (F.col("depth") + 1).alias("level")), "src").select("src", "dst", "kind", "level")
+    edges = cut(edges)
+    seen = _levels(edges, roots, None if max_depth is None else max_depth - 1)
+    return dedupe_edges(edges.join(seen.select(F.col("id").alias("src"), (F.col("depth") + 1).alias("level")), "src").select("src", "dst", "kind", "level"))
 
 
 def first_parents(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """id, depth, parent, kind: the breadth-first tree (W1); among parents a level up the least (parent, kind) wins."""
-    seen = cut(visit(edges, roots, max_depth))
-    up = seen.select(F.col("id").alias("parent"), (F.col("depth") + 1).alias("_d"))
-    arcs = edges.join(up, F.col("src") == F.col("parent")).join(seen, (F.col("dst") == F.col("id")) & (F.col("depth") == F.col("_d")))
-    return arcs.groupBy("id", "depth").agg(F.min(F.struct("parent", "kind")).alias("p")).select("id", "depth", "p.parent", "p.kind")
+    """id, depth, parent, kind: the breadth-first tree (W1); among parents a level up the least (parent, kind) wins.
+
+    Further columns of roots name separate trees and come first.
+    """
+    edges = cut(edges.select("src", "dst", "kind"))
+    seen = _levels(edges, roots, max_depth)
+    key = [c for c in seen.columns if c not in ("id", "depth")]
+    up = seen.select(*key, F.col("id").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    arcs = edges.join(up, F.col("src") == F.col("parent")).withColumnRenamed("dst", "id").join(seen, [*key, "id", "depth"])
+    return arcs.groupBy(*key, "id", "depth").agg(F.min(F.struct("parent", "kind")).alias("p")).select(*key, "id", "depth", "p.parent", "p.kind")
 
 
 def path_kinds(tree: DataFrame) -> DataFrame:
-    """id, kinds of the path from its root (G10), from first_parents(): a join a level."""
-    paths = tree.where("depth = 1").select("id", F.array("kind").alias("kinds"))
+    """id, kinds of the path from its root (G10), from first_parents(): a join a level; further columns as there."""
+    tree = cut(tree)
+    key = [c for c in tree.columns if c not in ("id", "depth", "parent", "kind")]
+    paths = tree.where("depth = 1").select(*key, "id", F.array("kind").alias("kinds"))
     out, depth = [paths], 1
     while True:
         depth += 1
         level = tree.where(F.col("depth") == depth)
-        paths = cut(level.join(out[-1].withColumnsRenamed({"id": "parent", "kinds": "_k"}), "parent").select("id", F.array_append("_k", F.col("kind")).alias("kinds")))
+        paths = cut(level.join(out[-1].withColumnsRenamed({"id": "parent", "kinds": "_k"}), [*key, "parent"]).select(*key, "id", F.array_append("_k", F.col("kind")).alias("kinds")))
         if paths.isEmpty():
             return reduce(DataFrame.unionByName, out)
         out.append(paths)

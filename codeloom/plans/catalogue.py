@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +20,13 @@ def node(kind: str, key: str):
     return F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
 
 
-def key_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The tables' keys as a property graph."""
+def key_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The tables' keys as a property graph; an edge comes as often as its row."""
     def edge(table, a, ka, b, kb, kind):
         return read(spark, d, table).select(node(a, ka).alias("src"), node(b, kb).alias("dst"), F.lit(kind).alias("kind"))
 
-    return G.union_edges(
+    return reduce(
+        DataFrame.unionByName,
         [
             edge("orders", "order", "o_orderkey", "customer", "o_custkey", "placed-by"),
             edge("customer", "customer", "c_custkey", "nation", "c_nationkey", "located-in"),
@@ -31,10 +34,14 @@ def key_edges(spark: SparkSession, d: str) -> DataFrame:
             edge("nation", "nation", "n_nationkey", "region", "n_regionkey", "belongs-to"),
             edge("lineitem", "order", "l_orderkey", "part", "l_partkey", "contains"),
             edge("lineitem", "part", "l_partkey", "supplier", "l_suppkey", "supplied-by"),
-        ]
+        ],
     )
 
 
+def key_edges(spark: SparkSession, d: str) -> DataFrame:
+    return G.union_edges([key_rows(spark, d)])
+
+
 EDGES = """edges AS (
   SELECT 'order:' || o_orderkey AS src, 'customer:' || o_custkey AS dst, 'placed-by' AS kind FROM orders
   UNION SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'located-in' FROM customer
@@ -78,12 +85,12 @@ def edge_dedupe(spark, d):
 
 @query(f"WITH RECURSIVE {EDGES}, {_reach('order:1', 4, 'src', 'dst')} SELECT id, depth FROM seen WHERE depth > 0")
 def deps_bfs(spark, d):
-    return G.traverse(key_edges(spark, d), roots(spark, "order:1"), 4).select("id", "depth")
+    return G.traverse(key_rows(spark, d), roots(spark, "order:1"), 4).select("id", "depth")
 
 
 @query(f"WITH RECURSIVE {EDGES}, {_reach('region:0', 3, 'dst', 'src')} SELECT id, depth FROM seen WHERE depth > 0")
 def dependents_bfs(spark, d):
-    return G.traverse(G.reverse(key_edges(spark, d)), roots(spark, "region:0"), 3).select("id", "depth")
+    return G.traverse(G.reverse(key_rows(spark, d)), roots(spark, "region:0"), 3).select("id", "depth")
 
 
 @query(
@@ -92,7 +99,7 @@ SELECT s.id, s.depth, string_agg(DISTINCT e.kind, ',' ORDER BY e.kind) AS via FR
 WHERE s.depth > 0 GROUP BY s.id, s.depth"""
 )
 def via_sets(spark, d):
-    return G.traverse(G.reverse(key_edges(spark, d)), roots(spark, "region:1"), 3).select("id", "depth", flat())
+    return G.traverse(G.reverse(key_rows(spark, d)), roots(spark, "region:1"), 3).select("id", "depth", flat())
 
 
 @query(f"WITH {EDGES} SELECT * FROM edges WHERE kind IN ('located-in', 'belongs-to')")
@@ -102,18 +109,18 @@ def relationship_filter(spark, d):
 
 @query(f"WITH RECURSIVE {EDGES}, {_reach('region:0', 3, 'dst', 'src')} SELECT split_part(id, ':', 1) AS id, min(depth) AS depth FROM seen WHERE depth > 0 GROUP BY 1")
 def folder_collapse(spark, d):
-    entries = G.traverse(G.reverse(key_edges(spark, d)), roots(spark, "region:0"), 3)
+    entries = G.traverse(G.reverse(key_rows(spark, d)), roots(spark, "region:0"), 3)
     return G.collapse(entries, F.substring_index("id", ":", 1)).select("id", "depth")
 
 
 @query(f"WITH RECURSIVE {EDGES}, {_reach('order:7', 2, 'src', 'dst')} SELECT e.src, e.dst, e.kind, s.depth + 1 AS depth FROM edges e JOIN seen s ON s.id = e.src WHERE s.depth < 3")
 def flow_slice(spark, d):
-    return G.flow(key_edges(spark, d), roots(spark, "order:7"), 3)
+    return G.flow(key_rows(spark, d), roots(spark, "order:7"), 3)
 
 
 @query(f"WITH RECURSIVE {EDGES}, {_reach('nation:3', 1, 'dst', 'src')} SELECT e.src AS dst, e.dst AS src, e.kind, s.depth + 1 AS level FROM edges e JOIN seen s ON s.id = e.dst WHERE s.depth < 2")
 def related_arcs(spark, d):
-    return G.related_edges(G.reverse(key_edges(spark, d)), roots(spark, "nation:3"), 2)
+    return G.related_edges(G.reverse(key_rows(spark, d)), roots(spark, "nation:3"), 2)
 
 
 @query(
@@ -122,7 +129,7 @@ SELECT c.id, c.depth, p[1] AS parent, p[2] AS kind FROM (
   SELECT s.id, s.depth, min([e.src, e.kind]) AS p FROM seen s JOIN edges e ON e.dst = s.id JOIN seen u ON u.id = e.src AND u.depth + 1 = s.depth GROUP BY s.id, s.depth) c"""
 )
 def first_parent(spark, d):
-    return G.first_parents(key_edges(spark, d), roots(spark, "order:5"), 4)
+    return G.first_parents(key_rows(spark, d), roots(spark, "order:5"), 4)
 
 
 @query(
@@ -131,7 +138,7 @@ walk(id, kinds) AS (SELECT dst, kind FROM up WHERE src = 'order:3' UNION SELECT
 SELECT id, CASE WHEN kinds LIKE '%belongs-to%' THEN 'low' WHEN kinds LIKE '%located-in%' THEN 'medium' ELSE 'high' END AS confidence FROM walk"""
 )
 def path_confidence(spark, d):
-    up = G.with_kinds(key_edges(spark, d), ["placed-by", "located-in", "belongs-to"])
+    up = G.with_kinds(key_rows(spark, d), ["placed-by", "located-in", "belongs-to"])
     paths = G.path_kinds(G.first_parents(up, roots(spark, "order:3")))
     return paths.select("id", G.confidence(F.col("kinds"), ["belongs-to"], ["located-in"]).alias("confidence"))
 
@@ -141,7 +148,7 @@ def path_confidence(spark, d):
 JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2 GROUP BY 1"""
 )
 def effects_by_category(spark, d):
-    up = G.with_kinds(key_edges(spark, d), ["placed-by", "located-in", "belongs-to"]).where("src not like 'supplier:%'")
+    up = G.with_kinds(key_rows(spark, d), ["placed-by", "located-in", "belongs-to"]).where("src not like 'supplier:%'")
     reached = G.traverse(G.reverse(up), roots(spark, "region:2"))
     sites = read(spark, d, "lineitem").select(node("order", "l_orderkey").alias("id"), F.col("l_returnflag").alias("category"))
     return sites.join(reached.select("id"), "id", "left_semi").groupBy("category").agg(F.count("*").alias("n"))
@@ -153,7 +160,7 @@ SELECT id, depth FROM seen WHERE depth > 0"""
 )
 def boundary_bfs(spark, d):
     stop = read(spark, d, "nation").where("n_nationkey % 2 = 0").select(node("nation", "n_nationkey").alias("id"))
-    return G.visit(G.reverse(key_edges(spark, d)), roots(spark, "region:0"), 4, stop).where("depth > 0")
+    return G.visit(G.reverse(key_rows(spark, d)), roots(spark, "region:0"), 4, stop).where("depth > 0")
 
 
 def _jobs(spark, d, kind):

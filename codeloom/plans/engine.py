@@ -509,14 +509,11 @@ class Engine:
         groups: limits {files, percent, sample} of direct, coverage and
         dependencies, in their order; total bounds all.
         """
-        graph = G.reverse(self.edges)
-        found = None
-        for start in changed:
-            tree = G.first_parents(graph, self._roots(start))
-            paths = G.path_kinds(tree).join(self.tests, F.col("id") == F.col("test"), "left_semi").select(F.col("id").alias("test"), F.lit(start).alias("changed_file"), "kinds")
-            found = paths if found is None else found.unionByName(paths)
+        starts = self._roots(*changed).withColumn("changed_file", F.col("id"))
+        paths = G.path_kinds(G.first_parents(G.reverse(self.edges), starts))
+        found = paths.join(self.tests, F.col("id") == F.col("test"), "left_semi").select(F.col("id").alias("test"), "changed_file", "kinds")
         own = self.tests.where(F.col("test").isin(changed)).select("test", F.col("test").alias("changed_file"), F.array(F.lit("self")).alias("kinds"))
-        rows = own if found is None else found.unionByName(own)
+        rows = found.unionByName(own)
         rows = rows.withColumn("_c", F.when(F.arrays_overlap("kinds", F.array(*map(F.lit, LOW))), 0).when(F.arrays_overlap("kinds", F.array(*map(F.lit, MEDIUM))), 1).otherwise(2))
         rows = rows.withColumn("_g", F.when(F.size("kinds") <= 1, "direct").when(F.arrays_overlap("kinds", F.array(F.lit("route-test"), F.lit("layout"), F.lit("selector"))), "coverage").otherwise("dependencies"))
         order = F.create_map(F.lit("direct"), F.lit(0), F.lit("coverage"), F.lit(1), F.lit("dependencies"), F.lit(2))

@@ -44,6 +44,17 @@ def test_traverse(spark, seed, most):
     assert got == plain([e for e in back if e[2] != "z"], ["n3"], most)
 
 
+def test_separate_starts(spark):
+    edges = random_edges(9)
+    df = spark.createDataFrame(edges, "src string, dst string, kind string")
+    starts = spark.createDataFrame([("n1", "n1"), ("n2", "n2"), ("n1", "both"), ("n2", "both")], "id string, start string")
+    tree = G.first_parents(df, starts)
+    paths = {(r.start, r.id): r.kinds for r in G.path_kinds(tree).collect()}
+    for start, ids in (("n1", ["n1"]), ("n2", ["n2"]), ("both", ["n1", "n2"])):
+        depth = {n: d for n, (d, _) in plain(edges, ids).items()}
+        assert {i: len(k) for (s, i), k in paths.items() if s == start} == depth
+
+
 def test_edges_of_the_rule_book(spark):
     df = spark.createDataFrame([("r", "a", "x"), ("r", "a", "y"), ("a", "r", "x"), ("a", "b", "x"), ("c", "b", "z"), ("r", "c", "x"), ("r", "a", "x")], "src string, dst string, kind string")
     got = {r.id: (r.depth, r.via) for r in G.traverse(df, roots_of(spark, ["r", "missing"])).collect()}
