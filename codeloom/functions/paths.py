@@ -115,6 +115,12 @@ def query_params(pattern: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
+def shell_quote(word: Column) -> Column:
+    """The word as a POSIX shell reads it back, in single quotes unless it is plain."""
+    quoted = F.concat(F.lit("'"), F.replace(word, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
+    return F.when(word.rlike(r"^[A-Za-z0-9_@%+=:,./-]+$"), word).otherwise(quoted)
+
+
 def topic_identity(cluster: Column, topic: Column) -> Column:
     """C23."""
     return F.concat_ws(":", cluster, topic)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,20 +77,29 @@ def last_before(events: DataFrame, by: list[str], at: str, is_query: Column, is_
 
 
 def fnv1a(column: Column) -> Column:
-    """The 64-bit FNV-1a hash of the text's bytes, as an unsigned decimal."""
-    @F.pandas_udf("string")
-    def digest(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            h = 14695981039346656037
-            for b in text.encode():
-                h = (h ^ b) * 1099511628211 % (1 << 64)
-            return str(h)
-
-        return texts.map(one)
-
-    return digest(column).cast("decimal(20,0)")
+    """The 64-bit FNV-1a hash of the text's bytes, as an unsigned decimal.
+
+    The state is two halves of 32 bits, so no product leaves a long: the prime
+    2**40 + 0x1B3 multiplies both halves by 0x1B3 and moves the lower one up by 8.
+    """
+    pairs = F.transform(F.regexp_extract_all(F.hex(F.encode(column, "utf-8")), F.lit("(..)"), 1), lambda x: F.conv(x, 16, 10).cast("long"))
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+
+    def step(h: Column, b: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(b)
+        up = h["hi"] * 0x1B3 + F.shiftright(lo * 0x1B3, 32) + F.shiftleft(lo, 8)
+        return F.struct(up.bitwiseAND(F.lit(0xFFFFFFFF)).alias("hi"), (lo * 0x1B3).bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"))
+
+    return F.aggregate(pairs, start, step, lambda h: (h["hi"].cast("decimal(10,0)") * F.lit(1 << 32).cast("decimal(10,0)") + h["lo"]).cast("decimal(20,0)"))
+
+
+def lookup_ignoring_case(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """Name, found, status: the exact name, else the only one that differs in case, else none (ambiguous or missing)."""
+    names = known.select("name").distinct()
+    folded = names.groupBy(F.lower("name").alias("_k")).agg(F.count("*").alias("_n"), F.min("name").alias("_one"))
+    rows = wanted.select("name").distinct().join(names.withColumn("_exact", F.lit(True)), "name", "left").withColumn("_k", F.lower("name")).join(folded, "_k", "left")
+    status = F.when(F.col("_exact"), "exact").when(F.col("_n") == 1, "ignoring-case").when(F.col("_n") > 1, "ambiguous").otherwise("missing")
+    return rows.withColumn("status", status).select("name", F.when(F.col("_exact"), F.col("name")).when(F.col("_n") == 1, F.col("_one")).alias("found"), "status")
 
 
 def stable_sample(rows: DataFrame, key: str, n: int) -> DataFrame:

@@ -255,10 +255,15 @@ class Engine:
         chosen = [made[k] for k in relationships if k in made]
         return G.union_edges(chosen) if chosen else G.with_kinds(self.edges, relationships)
 
-    def dependencies(self, *entries: str, depth: int | None = None, relationships: list[str] | None = None, filters: list[str] | None = None) -> DataFrame:
+    def dependencies(self, *entries: str, depth: int | None = None, relationships: list[str] | None = None, filters: list[str] | None = None, target_modules: list[str] | None = None) -> DataFrame:
+        """G1; with target_modules (F2) only the packages outside the repository whose names match."""
         if any("#" in e and "#job" not in e and "#procedure" not in e for e in entries):
             raise ValueError("symbols have no dependencies of their own; name the file")
-        return self._filtered(G.traverse(self._graph(relationships), self._roots(*entries), depth), filters)
+        out = self._filtered(G.traverse(self._graph(relationships), self._roots(*entries), depth), filters)
+        if not target_modules:
+            return out
+        inside = F.col("id").contains("#") | F.col("id").startswith("queue:")
+        return out.where(~inside & P.matches_any(F.col("id"), target_modules)).join(self.files.select(F.col("path").alias("id")), "id", "left_anti")
 
     def dependents(self, *entries: str, depth: int | None = None, relationships: list[str] | None = None, filters: list[str] | None = None) -> DataFrame:
         """G2, and G3 for file#symbol: importers of the symbol first, then their dependents."""
@@ -305,8 +310,9 @@ class Engine:
 
     # symbols
 
-    def symbols(self) -> DataFrame:
-        return self.exports
+    def symbols(self, kinds: list[str] | None = None) -> DataFrame:
+        """The exports, of some kinds where they are named."""
+        return self.exports.where(F.col("kind").isin(kinds)) if kinds else self.exports
 
     def import_usages(self) -> DataFrame:
         return self.imports.select(F.col("importer").alias("path"), "specifier", P.package_name(F.col("specifier")).alias("package_name"), "kind", "line", "side_effect_only", "re_export")
@@ -454,6 +460,11 @@ class Engine:
         made = self.producers()
         return G.union_edges([made[k] for k in made if k.startswith("workflow")])
 
+    def workflow_closure(self, *requested: str) -> DataFrame:
+        """Path, depth of the workflows asked for and of the local ones that they call."""
+        calls = rules.jobs_of(self).where("uses like './%'").select(F.col("path").alias("src"), P.normalize_path(F.regexp_replace("uses", "@.*", "")).alias("dst")).distinct()
+        return G.visit(calls, self._roots(*requested)).select(F.col("id").alias("path"), "depth").join(self.workflows.select("path"), "path", "left_semi")
+
     def ci_diagnostics(self) -> DataFrame:
         """Code, path, subject of cycles, missing needs, unknown workflow_run names and call contracts."""
         jobs = rules.jobs_of(self)
@@ -503,16 +514,41 @@ class Engine:
     def tests(self) -> DataFrame:
         return self.files.where(F.col("path").rlike(TEST)).select(F.col("path").alias("test"))
 
-    def tests_plan(self, changed: list[str], groups: dict[str, dict] | None = None, total: int | None = None) -> DataFrame:
+    def changed_inputs(self, files: list[str] = (), diff: str | None = None, base: str | None = None, root: str = ".") -> DataFrame:
+        """Path of all that changed by name, by a unified diff (S10) or since the merge base with a commit (S11), each once."""
+        rows = [self.spark.createDataFrame([(f,) for f in files], "path string")]
+        if diff:
+            rows.append(S.diff_lines(self.spark, diff).select("path"))
+        if base:
+            rows.append(S.git_changes(self.spark, root, base).select("path"))
+        return reduce(DataFrame.unionByName, rows).select(P.normalize_path(F.col("path")).alias("path")).distinct()
+
+    def removed_selectors(self, diff: str) -> DataFrame:
+        """Path, value of the test ids that a diff takes from a file and doesn't put back there."""
+        named = F.regexp_extract_all("text", F.lit(r"""\bdata-(?:pw|testid|test-id|test)=[{"'`]+([^"'`}]+)"""), 1)
+        ids = S.diff_lines(self.spark, diff).where("kind in ('add', 'remove')").select("path", "kind", F.explode(named).alias("value"))
+        return ids.where("kind = 'remove'").select("path", "value").distinct().join(ids.where("kind = 'add'"), ["path", "value"], "left_anti")
+
+    def lockfile_seeds(self, before: DataFrame) -> DataFrame:
+        """Package, file: importers of the packages whose lockfile entries changed; where there are none, the workspace's own entry."""
+        changed = self.lockfile_diff(before).select(F.col("name").alias("package")).distinct()
+        uses = self.resolved.where("package is not null").select("package", F.col("importer").alias("file")).distinct()
+        entry = F.when(F.col("entry").isNotNull(), P.normalize_path(F.concat_ws("/", "dir", "entry"))).otherwise(F.col("path"))
+        own = self.packages.select(F.col("name").alias("package"), entry.alias("file"))
+        return changed.join(uses, "package").unionByName(changed.join(uses, "package", "left_anti").join(own, "package")).distinct()
+
+    def tests_plan(self, changed: list[str] | DataFrame, groups: dict[str, dict] | None = None, total: int | None = None) -> DataFrame:
         """Test, confidence, reasons of the tests a change reaches; changed tests select themselves.
 
-        groups: limits {files, percent, sample} of direct, coverage and
-        dependencies, in their order; total bounds all.
+        changed: paths, or rows of changed_inputs(). groups: limits {files,
+        percent, sample} of direct, coverage and dependencies, in their order
+        (a sample is that many tests by the hash of their paths, L6); total
+        bounds all.
         """
-        starts = self._roots(*changed).withColumn("changed_file", F.col("id"))
+        starts = (changed.select(F.col("path").alias("id")) if isinstance(changed, DataFrame) else self._roots(*changed)).withColumn("changed_file", F.col("id"))
         paths = G.path_kinds(G.first_parents(G.reverse(self.edges), starts))
         found = paths.join(self.tests, F.col("id") == F.col("test"), "left_semi").select(F.col("id").alias("test"), "changed_file", "kinds")
-        own = self.tests.where(F.col("test").isin(changed)).select("test", F.col("test").alias("changed_file"), F.array(F.lit("self")).alias("kinds"))
+        own = self.tests.join(starts, F.col("test") == F.col("id"), "left_semi").select("test", F.col("test").alias("changed_file"), F.array(F.lit("self")).alias("kinds"))
         rows = found.unionByName(own)
         rows = rows.withColumn("_c", F.when(F.arrays_overlap("kinds", F.array(*map(F.lit, LOW))), 0).when(F.arrays_overlap("kinds", F.array(*map(F.lit, MEDIUM))), 1).otherwise(2))
         rows = rows.withColumn("_g", F.when(F.size("kinds") <= 1, "direct").when(F.arrays_overlap("kinds", F.array(F.lit("route-test"), F.lit("layout"), F.lit("selector"))), "coverage").otherwise("dependencies"))
@@ -525,8 +561,10 @@ class Engine:
         for name, limit in groups.items():
             n = plan.where(F.col("group") == name).count()
             percent = math.ceil(n * limit["percent"] / 100) if "percent" in limit else n
-            limits[name] = min(n, percent, limit.get("files", n))
-        ranked = plan.select("group", F.when(F.col("reasons")[0]["via"][0] == "self", 0).otherwise(1).alias("ord"), F.col("test").alias("item"))
+            limits[name] = min(n, percent, limit.get("files", n), limit.get("sample", n))
+        sampled = F.col("group").isin([name for name, limit in groups.items() if "sample" in limit])
+        rank = F.when(F.col("reasons")[0]["via"][0] == "self", F.lit(0)).when(sampled, M.fnv1a(F.col("test")) + 1).otherwise(F.lit(1))
+        ranked = plan.select("group", rank.alias("ord"), F.col("test").alias("item"))
         kept = G.take_in_groups(ranked, limits, sum(limits.values()) if total is None else total)
         return plan.join(kept.select(F.col("item").alias("test")), "test", "left_semi")
 
@@ -538,7 +576,7 @@ class Engine:
     def tests_targets(self, tests: DataFrame, command: str = "vitest run") -> DataFrame:
         """A10: command, files by folder of the nearest package."""
         owners = self.packages.select(F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))).alias("prefix"), F.col("dir").alias("owner"))
-        return M.nearest_ancestor(tests.select(F.col("test").alias("path")), owners).groupBy(F.col("owner").alias("project")).agg(F.array_sort(F.collect_set("path")).alias("files")).withColumn("command", F.concat_ws(" ", F.lit(command), F.array_join("files", " ")))
+        return M.nearest_ancestor(tests.select(F.col("test").alias("path")), owners).groupBy(F.col("owner").alias("project")).agg(F.array_sort(F.collect_set("path")).alias("files")).withColumn("command", F.concat_ws(" ", F.lit(command), F.array_join(F.transform("files", P.shell_quote), " ")))
 
     def tests_graph(self, plan: DataFrame) -> DataFrame:
         return plan.select("test", F.explode("reasons").alias("r")).select(F.col("r.changed_file").alias("src"), F.col("test").alias("dst"), F.array_join("r.via", "+").alias("kind"))

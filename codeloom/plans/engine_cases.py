@@ -53,6 +53,7 @@ PLAN = {
     "src/types.ts": "export type T = string;\n", "src/helper.ts": 'import type { T } from "./types";\nexport function helper() {}\n', "src/lazy.ts": 'export const f = () => import("./helper");\n',
     "src/helper.test.ts": 'import { helper } from "./helper";\nhelper();\n', "src/lazy.test.ts": 'import { f } from "./lazy";\nf();\n', "package.json": package("r"),
 }
+DIFF = 'diff --git a/src/view.tsx b/src/view.tsx\n--- a/src/view.tsx\n+++ b/src/view.tsx\n@@ -1,2 +1,1 @@\n-<p data-testid="gone" />\n-<p data-testid="moved" />\n+<b data-testid="moved" />\n'
 SWIFT = {"Sources/Core/A.swift": "import Foundation\nstruct A {}\n", "Sources/App/B.swift": "import Core\nstruct B {}\n", "Tests/AppTests/T.swift": "import App\n"}
 PYTHON = {"py/app/models.py": "class User:\n    pass\n", "py/app/views.py": "from .models import User\n\nUser()\n", "py/other/thing.py": "class User:\n    pass\n"}
 GO = {"go/shop/a.go": "package shop\n\ntype Cart struct{}\n", "go/shop/b.go": "package shop\n\nfunc f(c Cart) {}\n", "go/other/c.go": "package shop\n\ntype Cart struct{}\n"}
@@ -160,6 +161,21 @@ REPORT_CASES: dict[str, tuple[dict[str, str], Callable[[Engine], DataFrame], lis
         ["name", "change"],
         [("a", "changed"), ("b", "added"), ("c", "removed")],
     ),
+    "dependencies_modules": ({"src/a.ts": 'import "./b";\nimport "left-pad";\nimport "right";\n', "src/b.ts": 'import "@s/p/x";\n'}, lambda e: e.dependencies("src/a.ts", target_modules=["left-*", "@s/*"]), NAMES, [("left-pad", 1), ("@s/p", 2)]),
+    "symbols_of_kind": (BARREL, lambda e: e.symbols(["function"]), ["file", "name"], [("lib/core.ts", "run"), ("src/late.ts", "f")]),
+    "workflow_closure": (WORKFLOW, lambda e: e.workflow_closure(WF), ["path", "depth"], [(WF, 0), (".github/workflows/reuse.yml", 1)]),
+    "changed_inputs": ({}, lambda e: e.changed_inputs(["./src/x.ts", "src/y.ts"], DIFF), ["path"], [("src/x.ts",), ("src/y.ts",), ("src/view.tsx",)]),
+    "removed_selectors": ({}, lambda e: e.removed_selectors(DIFF), ["path", "value"], [("src/view.tsx", "gone")]),
+    "lockfile_seeds": (
+        {"package-lock.json": '{"packages": {"node_modules/a": {"version": "2"}, "node_modules/b": {"version": "1"}, "node_modules/own": {"version": "2"}}}', "src/a.ts": 'import "a/deep";\nimport "b";\n', "packages/own/package.json": '{"name": "own", "main": "./index.js"}'},
+        lambda e: e.lockfile_seeds(S.from_rows(e.spark, {"package-lock.json": '{"packages": {"node_modules/a": {"version": "1"}, "node_modules/b": {"version": "1"}, "node_modules/own": {"version": "1"}}}'})),
+        ["package", "file"],
+        [("a", "src/a.ts"), ("own", "packages/own/index.js")],
+    ),
+    # the three of the least 64-bit FNV-1a hashes of their paths
+    "tests_plan_sample": ({"src/x.ts": ""} | {f"src/{c}.test.ts": 'import "./x";\n' for c in "abcdefgh"}, lambda e: e.tests_plan(["src/x.ts"], {"direct": {"sample": 3}}), ["test", "group"], [("src/b.test.ts", "direct"), ("src/d.test.ts", "direct"), ("src/e.test.ts", "direct")]),
+    "tests_plan_diff": (PLAN, lambda e: e.tests_plan(e.changed_inputs(diff="diff --git a/src/types.ts b/src/types.ts\n--- a/src/types.ts\n+++ b/src/types.ts\n@@ -1 +1 @@\n-a\n+b\n")), ["test", "confidence"], [("src/helper.test.ts", "high"), ("src/lazy.test.ts", "medium")]),
+    "tests_targets_quoted": ({"package.json": package("r"), "src/it's [id].test.ts": ""}, lambda e: e.tests_targets(e.tests), ["command"], [("vitest run 'src/it'\"'\"'s [id].test.ts'",)]),
     "check_suppressed": ({"a.tsx": "// any-tool-disable-next-line nextjs-no-manual-script-tags\nconst a = <script>;\nconst b = <script>;\n"}, lambda e: e.check({"nextjs-no-manual-script-tags": {}}), ["file", "line"], [("a.tsx", 3)]),
     "visible_paths": ({"src/a.ts": "", "node_modules/x.js": "", ".hidden/y.ts": "", ".github/workflows/c.yml": "", "dist/z.js": ""}, lambda e: S.visible(e.files), ["path"], [("src/a.ts",), (".github/workflows/c.yml",)]),
     "page_routes": (PAGES | {"pages/blog/index.tsx": "", "app/routes/shop.$id.tsx": ""}, lambda e: e.page_routes, ["file", "route"], [("app/users/[id]/page.tsx", "/users/:id"), ("app/about/page.tsx", "/about"), ("pages/blog/index.tsx", "/blog"), ("app/routes/shop.$id.tsx", "/shop/:id")]),

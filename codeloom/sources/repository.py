@@ -110,7 +110,9 @@ def lockfile_packages(files: DataFrame) -> DataFrame:
 
 
 def diff_lines(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame(documents.diff(text), columns=[c.split()[0] for c in documents.DIFF_SCHEMA.split(", ")]).astype(object).where(lambda x: x.notna(), None), documents.DIFF_SCHEMA)
+    """A row for each line of a unified diff's hunks; files without hunks have one of nulls."""
+    names = [c.split()[0] for c in documents.DIFF_SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(row[n] for n in names) for row in documents.diff(text)], documents.DIFF_SCHEMA)
 
 
 def git_changes(spark: SparkSession, root: str, base: str, head: str = "HEAD") -> DataFrame:

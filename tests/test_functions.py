@@ -1,5 +1,6 @@
 import random
 import re
+import shlex
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,18 @@ def test_fnv(spark):
     assert [r[0] and int(r[0]) for r in df.select(M.fnv1a(F.col("k"))).collect()] == [14695981039346656037, 0xAF63DC4C8601EC8C, 0x85944171F73967E8, None]
 
 
+def test_shell_words(spark):
+    words = ["a/b.ts", "it's", "a b", "", "$x", "-n", "é"]
+    assert column(spark, words, P.shell_quote) == [shlex.quote(w) for w in words]
+
+
+def test_lookup_ignoring_case(spark):
+    name = lambda *xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    got = {tuple(r) for r in M.lookup_ignoring_case(name("A", "b", "C", "d"), name("A", "a", "B", "c", "Cc", "CC", "D", "D")).collect()}
+    assert got == {("A", "A", "exact"), ("b", "B", "ignoring-case"), ("C", "c", "ignoring-case"), ("d", "D", "ignoring-case")}
+    assert [tuple(r) for r in M.lookup_ignoring_case(name("x", "cC"), name("Cc", "CC")).orderBy("name").collect()] == [("cC", None, "ambiguous"), ("x", None, "missing")]
+
+
 def test_matching_against_brute_force(spark):
     rng = random.Random(3)
     old, new = ([(f"k{rng.randrange(8)}", str(rng.randrange(3))) for _ in range(12)] for _ in range(2))
