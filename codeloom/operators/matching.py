@@ -63,11 +63,14 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, values: list[str]) -
 def strict_prefixes(rows: DataFrame, group: list[str], columns: str, name: str) -> DataFrame:
     """Name, covered_by: rows whose columns are a strict prefix of another's of the group, the least of those.
 
-    Every row offers its own strict prefixes, and those are joined by equality.
+    Every row offers its own strict prefixes; a prefix keeps the least of its
+    offers before it is joined by equality. The arrays are made here, so the size
+    that a plan expects of either side says little; neither may be broadcast for it.
     """
     cols = F.col(columns)
     offers = rows.where(F.size(cols) > 1).select(*group, F.explode(F.transform(F.sequence(F.lit(1), F.size(cols) - 1), lambda n: F.slice(cols, F.lit(1), n))).alias(columns), F.col(name).alias("covered_by"))
-    return rows.join(offers, [*group, columns]).groupBy(name).agg(F.min("covered_by").alias("covered_by"))
+    least = offers.groupBy(*group, columns).agg(F.min("covered_by").alias("covered_by"))
+    return rows.join(least.hint("merge"), [*group, columns]).groupBy(name).agg(F.min("covered_by").alias("covered_by"))
 
 
 def last_before(events: DataFrame, by: list[str], at: str, is_query: Column, is_source: Column) -> DataFrame:

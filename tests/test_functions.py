@@ -128,3 +128,28 @@ def test_matching_against_brute_force(spark):
     owners = spark.createDataFrame([("", "r"), ("a/", "x"), ("a/b/", "y"), ("a/b/", "z")], "prefix string, owner string")
     got = {r.path: r.owner for r in M.nearest_ancestor(spark.createDataFrame([("a/c",), ("a/b/c",), ("q",)], "path string"), owners).collect()}
     assert got == {"a/c": "x", "q": "r"}
+
+
+def test_strict_prefixes_need_no_broadcast(spark, tmp_path):
+    """Arrays made of a small file outgrow the size that the plan expects, and the driver couldn't hold them."""
+    keys = range(30000)
+    spark.createDataFrame([(k, f"b{k % 7}") for k in keys], "k long, b string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t").select("k", "b", F.split(F.col("k").cast("string"), "").alias("digits"))
+    want: dict = {}
+    for k in keys:
+        for p in (int(str(k)[:n]) for n in range(1, len(str(k)))):
+            if p % 7 == k % 7:
+                want[p] = min(k, want.get(p, k))
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "1m")
+    try:
+        got = {tuple(r) for r in M.strict_prefixes(rows, ["b"], "digits", "k").collect()}
+    finally:
+        spark.conf.unset(limit)
+    assert got == set(want.items())
+
+
+def test_strict_prefixes_of_equal_rows_and_nulls(spark):
+    rows = [("t", "a", ["x"]), ("t", "b", ["x"]), ("t", "d", ["x", "y"]), ("t", "c", ["x", "z"]), (None, "e", ["x"]), (None, "f", ["x", "y"]), ("t", "g", None), ("t", "h", []), ("u", "i", ["x"])]
+    got = {tuple(r) for r in M.strict_prefixes(spark.createDataFrame(rows, "t string, name string, cols array<string>"), ["t"], "cols", "name").collect()}
+    assert got == {("a", "c"), ("b", "c")}
