@@ -8,12 +8,16 @@ memory-mapped: a batch's buffers are then views of the file.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +32,136 @@ BATCH = 128
 PART_BYTES = 16 << 20
 DOCS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "part int, path string, docs_path string, n_docs bigint, n_tokens bigint"
+#: Distinct words that a worker remembers, about; then the half unused for longest goes.
+REMEMBERED = 500_000
+#: The normalizer and pre-tokenizer that WordEncoder knows.
+WORDS_ONLY = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
+class WordEncoder(bpe.PieceEncoder):
+    """The piece encoder of models that lower-case and drop white space (WORDS_ONLY).
+
+    White space before a piece is dropped and its ASCII letters are lower-cased
+    before pieces are told apart. Pieces of Latin letters alone are one word
+    each: the library's model encodes them without its normalizer and
+    pre-tokenizer, which would leave them as they are. All others go through
+    the whole tokenizer.
+    """
+
+    def __init__(self, spec: str, most: int = REMEMBERED):
+        super().__init__(spec)
+        self.model, self.most, self.now = self.tokenizer.model, most, 0
+        #: the bytes of lower-cased words as the characters that stand for them
+        self.shown = {b: c for b, c in enumerate(bpe.byte_table()) if chr(b) != c}
+
+    def clear(self) -> None:
+        super().clear()
+        #: the call of encode that last met each piece
+        self.last = np.zeros(0, np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain = plain_words(pa.array(pieces, pa.large_string()))
+        words, others = list(compress(pieces, plain)), [f" {p}" for p in compress(pieces, ~plain)]
+        found, sizes = [], []
+        for word in map(str.lower, words):
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.shown)
+            tokens = self.model.tokenize(word)
+            found += [x.id for x in tokens]
+            sizes.append(len(tokens))
+        ids, n = self._encode(pa.array(others, pa.large_string())) if others else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        n = np.concatenate([np.array(sizes, np.int64), n])
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
+        self.ids = np.concatenate([self.ids, np.array(found, np.uint32), ids])
+        self.known.update(zip(words + [p[1:] for p in others], range(len(self.n), len(self.n) + len(pieces)), strict=True))
+        self.n, self.last = np.concatenate([self.n, n]), np.concatenate([self.last, np.full(len(pieces), self.now)])
+
+    def _forget(self) -> np.ndarray:
+        """Drops the half of the pieces that was unused for longest, none of this call's; the places of those that stay."""
+        cutoff = np.partition(self.last, len(self.last) // 2)[len(self.last) // 2]
+        stays = self.last >= self.now if cutoff >= self.now else self.last > cutoff
+        n = self.n[stays]
+        ends = np.cumsum(n)
+        self.ids = self.ids[np.repeat(self.at[stays] - (ends - n), n) + np.arange(int(n.sum()))]
+        self.at, self.n, self.last = ends - n, n, self.last[stays]
+        self.known = dict(zip(compress(self.known, stays), range(len(n)), strict=True))
+        return np.cumsum(stays) - 1
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, starts = common.string_bytes(pc.fill_null(texts.cast(pa.large_string()), ""))
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
+        cuts = word_cuts(raw, starts)
+        low, at = bare(raw, cuts)
+        coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(at), pa.py_buffer(low)).dictionary_encode()
+        distinct, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        self.now += 1
+        spot = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = spot < 0
+        self.last[spot[~new]] = self.now
+        if new.any():
+            if len(self.known) and len(self.known) + int(new.sum()) > self.most:
+                spot[~new] = self._forget()[spot[~new]]
+            pieces = list(compress(distinct, new))
+            self._learn(pieces)
+            spot[new] = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        n = self.n[spot][index]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.at[spot][index] - (ends - n), n) + np.arange(int(ends[-1]))]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(cuts, starts)]
+
+
+def word_cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """bpe.cut_points without those inside a text between U+0130, whose lower case ends in a mark, and the punctuation that this mark is one match with."""
+    cuts = bpe.cut_points(raw, starts)
+    at = cuts[(cuts > 1) & (cuts < len(raw))]
+    at = at[(raw[at - 1] == 0xB0) & (raw[at - 2] == 0xC4) & ~common.SPACE[raw[at]]]
+    return np.setdiff1d(cuts, np.setdiff1d(at, starts), assume_unique=True) if len(at) else cuts
+
+
+def bare(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces' bytes and offsets without the ASCII white space before each and that behind other such, A-Z lower-cased.
+
+    A letter before a byte outside ASCII stays as it is: a mark may follow,
+    with which only one of the two cases has a character of its own.
+    """
+    low = np.where(np.append(raw[1:], np.uint8(0)) < 0x80, common.LOWER[raw], raw)
+    space = common.SPACE[raw]
+    drops = np.zeros(len(raw) + 1, bool)
+    drops[cuts] = True
+    drops[1:-1] |= space[:-1]
+    keeps = ~(drops[:-1] & space)
+    return low[keeps], np.concatenate([[0], np.cumsum(keeps)])[cuts]
+
+
+def plain_words(pieces: pa.Array) -> np.ndarray:
+    """Whether a piece is letters of ASCII and U+00C0 to U+017F alone, one at least; not U+0130, whose lower case has a mark."""
+    raw, at = common.string_bytes(pieces)
+    prev = np.concatenate([np.zeros(1, np.uint8), raw])[:-1]
+    lead = (raw >= 0xC3) & (raw <= 0xC5)
+    behind = (prev >= 0xC3) & (prev <= 0xC5) & ~((prev == 0xC3) & ((raw == 0x97) | (raw == 0xB7))) & ~((prev == 0xC4) & (raw == 0xB0))
+    letter = ((raw | 0x20) >= 0x61) & ((raw | 0x20) <= 0x7A)
+    upto = np.concatenate([[0], np.cumsum(~(letter | lead | behind))])
+    return (np.diff(upto[at]) == 0) & (np.diff(at) > 0)
+
+
+def encoder(spec: str) -> bpe.PieceEncoder:
+    """This worker's encoder for a tokenizer."""
+    key, kept = ("words", hashlib.sha1(spec.encode()).hexdigest()), common.process_cache()
+    if key not in kept:
+        parts = json.loads(spec)
+        known = (parts["normalizer"], parts["pre_tokenizer"]) == WORDS_ONLY and all(t["special"] for t in parts["added_tokens"])
+        kept[key] = WordEncoder(spec) if known and parts["model"]["type"] == "BPE" and not parts["model"]["dropout"] else bpe.encoder(spec)
+    return kept[key]
 
 
 def sequence_schema(length: int, wide: bool) -> pa.Schema:
@@ -83,7 +217,7 @@ def write(docs: DataFrame, spec: str, folder: str, end_id: int, sequence: int =
         enc = None
         for batch in batches:
             if batch.num_rows and enc is None:
-                enc = bpe.encoder(sent.value)
+                enc = encoder(sent.value)
                 wide = enc.tokenizer.get_vocab_size() > 1 << 16
                 part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
                 fs, root = pafs.FileSystem.from_uri(folder)

@@ -96,6 +96,39 @@ def test_token_files(spark, docs):
     assert token_files.read(spark, token_files.write(docs.limit(0), spec, common.new_path(spark, "test-tokens"), end_id=2, parts=2)).count() == 0
 
 
+def test_word_encoder_gives_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    plain = Tokenizer.from_str(spec)
+    plain.encode_special_tokens = True
+    rng = np.random.default_rng(5)
+    alphabet = ["a", "H", "t", "T", "é", "É", "ß", "×", "÷", "İ", "ŉ", "ſ", "Ÿ", "Ł", "ǰ", "日", "Σ", "ς", "\u0301", "\u0331", "\u0307", "K"]
+    alphabet += [" ", " ", "\n", "\x0b", "\x1f", "\x85", "\u00a0", "\u3000", "'s", "'LL", "'", ",", "***", "1", "٣", "</w>", "<|endoftext|>", "<|ENDOFTEXT|>", "\0"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(3000)] + [t or "" for t in TEXTS] + [" ", "A", "A\u0331", "É"]
+    for most in (token_files.REMEMBERED, 50):
+        enc = token_files.WordEncoder(spec, most)
+        for part in (texts[:7], texts[7:2000], texts[1500:], [""], texts[:40]):
+            ids, ends = enc.encode(pa.array([t if t else None for t in part], pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in part]
+    assert isinstance(token_files.encoder(spec), token_files.WordEncoder)
+    assert not isinstance(token_files.encoder(spec.replace('"Lowercase"', '"NFKC"')), token_files.WordEncoder)
+
+
+def test_words_in_use_are_encoded_once():
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        enc = token_files.WordEncoder(f.read(), 1000)
+    often, met = " ".join("often" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(300)), []
+    learn = enc._learn
+    enc._learn = lambda pieces: (met.extend(pieces), learn(pieces))
+    for k in range(30):
+        seldom = " ".join("".join(chr(97 + int(d)) for d in str(1000 * k + i)) + "x" for i in range(100))
+        enc.encode(pa.array([f"{often}\n{seldom}", often.upper()]))
+        assert len(enc.known) <= 1000
+    assert sum(p.startswith("often") for p in met) == 300
+
+
 def test_mixing(spark, docs):
     rows = mixing.mix_sizes(docs).collect()
     sizes = {r.doc_id: len(WORD.findall(r.text or "")) for r in docs.collect()}
