@@ -481,6 +481,49 @@ def test_language_model_knows_contexts_of_rare_words(spark):
     assert got[test[0]].score > got[test[1]].score + 1
 
 
+def test_cells_of_slices_are_summed():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "B", "b", "cc", "longer-than-eight", "é"], rng.integers(0, 9))) for _ in range(300)]
+    names = {int(h): w for w, h in zip(["a", "b", "cc", "longer-than-eight", "é"], common.hash_strings(pa.array(["a", "b", "cc", "longer-than-eight", "é"])), strict=True)}
+    names |= {int(pitman_yor.END): "</s>", int(pitman_yor.BEGIN): "<s>"}
+    want, lists, train = Counter(), [], rng.random(300) < 0.7
+    for k in range(0, 300, 60):
+        lists.append(pitman_yor.counted(*pitman_yor.tokens_of(pa.record_batch({"doc_id": list(range(60)), "text": texts[k : k + 60]})), train[k : k + 60]))
+    for t, own in zip(texts, train, strict=True):
+        words = ["<s>", *lower(t).split(), "</s>"]
+        for cell in zip(words, words[1:], strict=False):
+            want[cell] += int(own)
+    large = [x._replace(counts=x.counts.astype(np.int64) << 58) for x in lists[:1]]  # beyond what is sorted as one number
+    for got, expected in ((pitman_yor.merged(lists), want), (pitman_yor.merged([pitman_yor.merged(lists[:2]), *lists[2:]]), want), (pitman_yor.merged(large), None)):
+        order = list(zip(got.contexts[got.c].tolist(), got.words[got.w].tolist(), strict=True))
+        assert order == sorted(set(order)) and set(got.c) == set(range(len(got.contexts))) and set(got.w) == set(range(len(got.words)))
+        cells = {(names[c], names[w]): n for (c, w), n in zip(order, got.counts.tolist(), strict=True)}
+        assert cells == (expected if expected is not None else {k: n << 58 for k, n in zip(cells, pitman_yor.merged(lists[:1]).counts.tolist(), strict=True)})
+    assert len(pitman_yor.merged([]).c) == 0
+    numbers = rng.integers(0, 50, 200)
+    for x in (numbers, numbers << 56, numbers[:0]):
+        assert all((a == b).all() for a, b in zip(pitman_yor.distinct(x), np.unique(x, return_inverse=True), strict=True))
+
+
+def test_lookup_scores_each_word_once(monkeypatch):
+    """The words' base scores are computed a shard, not a slice of texts, at a time."""
+    cells = {"contexts": np.array([5], np.uint64), "spans": np.array([3], np.uint32), "words": np.array([1, 2, 9], np.uint64), "dishes": np.array([0, 1, 2], np.uint32), "counts": np.array([4, 0, 7], np.uint32)}
+    scores = {"scores": np.array([-1, -2, -3], np.float32), "word_counts": np.array([4, 0, 7], np.uint32)}
+    files = type("Files", (), {"read": lambda self, key: cells if key.startswith("cells") else scores})()
+    keys, calls = pitman_yor.cell_keys(np.full(3, 5, np.uint64), cells["words"]), []
+    base = pitman_yor.Words.base
+    monkeypatch.setattr(pitman_yor.Words, "base", lambda self, counts: (calls.append(len(counts)), base(self, counts))[1])
+    rows = [b for k in range(20) for b in pitman_yor.keyed(k, keys, np.zeros(3, np.int64), np.array([2, 0, 0, 1]), np.array([0, 0, 0, 1]))]
+    model = pitman_yor.Model(pitman_yor.Words(11, 2), 0.5)
+    got = list(pitman_yor.looked_up(pa.Table.from_batches(rows), files, model))
+    assert len(got) == 20 and sum(calls) <= 3
+    b = base(model.words, np.array([4, 0, 7]))
+    for r in got:
+        assert np.frombuffer(r["known"], np.int32).tolist() == [3, 0]
+        assert np.frombuffer(r["score"]).tolist() == [-5.0, -2.0]
+        assert np.frombuffer(r["base"]) == pytest.approx([2 * b[0] + b[2], b[1]])
+
+
 def test_restaurants_sum_to_one():
     rng = np.random.default_rng(8)
     words = 30
